@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestia.llm import ann, packing, simhash, topk
+from attestia.llm import ann, langid, mixing, packing, simhash, token_count, topk, url_filter
 from attestia.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,16 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("__id") % 100 == 0, 10)
 
 
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(read(spark, sf_dir, "documents"))
+
+
+@query
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(read(spark, sf_dir, "documents"))
+
+
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -35,6 +45,37 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(read(spark, sf_dir, "documents"))
 
 
+#: (verdict, host, path)
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+ORACLE["op7_url_filter"] = r"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), r(verdict, rh, rp) AS (
+  VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
+), j AS (
+  SELECT u.*, (SELECT max(struct_pack(n := length(rh || rp), rule := rh || rp, verdict := verdict)) FROM r
+               WHERE (u.host = rh OR u.host LIKE '%.' || rh) AND starts_with(u.path, rp)) AS best
+  FROM u
+)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM j
+"""
+
+
+@query
+def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return token_count.recount(docs, token_count.revision(), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @query
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner(read(spark, sf_dir, "embeddings"), F.col("__id") % 50 == 0, 5)
