@@ -76,3 +76,35 @@ def mix64(x: np.ndarray, seed: int) -> np.ndarray:
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return z ^ (z >> np.uint64(31))
+
+
+class Places:
+    """Places of distinct 64-bit keys in the array they came from; an open-addressing table in numpy."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(np.ceil(np.log2(2 * len(keys) + 1))))
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.at = np.full(1 << self.bits, -1, np.int32)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.at[slot[left]] < 0]
+            self.at[slot[free]] = free
+            left = left[self.at[slot[left]] != left]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+        used = self.at >= 0
+        self.keys[used] = keys[self.at[used]]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where there is none."""
+        slot = self._slot(keys)
+        out = self.at[slot]
+        todo = np.nonzero((out >= 0) & (self.keys[slot] != keys))[0]
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+            out[todo] = self.at[slot[todo]]
+            todo = todo[(out[todo] >= 0) & (self.keys[slot[todo]] != keys[todo])]
+        return out

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestia.llm import ann, langid, mixing, packing, simhash, token_count, topk, url_filter
+from attestia.llm import ann, langid, mixing, packing, ppm, simhash, token_count, topk, url_filter
 from attestia.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,11 @@ def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.recount(docs, token_count.revision(), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query
+def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.digest(read(spark, sf_dir, "documents"))
+
+
 @query
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner(read(spark, sf_dir, "embeddings"), F.col("__id") % 50 == 0, 5)
