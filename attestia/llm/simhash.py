@@ -121,15 +121,36 @@ def forest(sample: np.ndarray, total: int, radius: int, parts: int, leaf: int =
     return [Tree((1 << b) - (1 << a), radius // parts, sample, leaves, seed + a) for a, b in zip(edges, edges[1:])]
 
 
+def joined(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """The pairs (i, j) that join two sets, in turn; parent is brought up to date."""
+    out = []
+    for a, b in zip(i.tolist(), j.tolist()):
+        x, y = a, b
+        while parent[x] != x:
+            x = parent[x]
+        while parent[y] != y:
+            y = parent[y]
+        if x != y:
+            out.append((a, b))
+            parent[max(x, y)] = min(x, y)
+    while (up := parent[parent]).tolist() != parent.tolist():
+        parent[:] = up
+    return out
+
+
 def close_pairs(points: np.ndarray, radius: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of distinct points within the radius: sorted by the distance to a vantage point, only a window is compared."""
+    """Pairs of distinct points within the radius that connect all such pairs: fewer than there are points.
+
+    Sorted by the distance to a vantage point, only a window is compared.
+    """
     points = np.unique(points)
     if len(points) < 2:
         return points[:0], points[:0]
     d = np.bitwise_count(points ^ points[len(points) // 2]).astype(np.int16)
     order = np.argsort(d, kind="stable")
     points, d = points[order], d[order]
-    left, right = [], []
+    parent = np.arange(len(points))
+    pairs: list[tuple[int, int]] = []
     for a in range(0, len(points), block):
         b = min(a + block, len(points))
         top = int(np.searchsorted(d, d[b - 1] + radius, "right"))
@@ -137,16 +158,17 @@ def close_pairs(points: np.ndarray, radius: int, block: int = 1024) -> tuple[np.
             near = np.bitwise_count(points[a:b, None] ^ points[None, c : min(c + 4 * block, top)]) <= radius
             i, j = np.nonzero(near)
             i, j = i + a, j + c
-            one = i < j
-            left.append(points[i[one]])
-            right.append(points[j[one]])
-    left, right = np.concatenate(left), np.concatenate(right)
+            fresh = (i < j) & (parent[i] != parent[j])
+            pairs += joined(parent, i[fresh], j[fresh])
+    left, right = (points[[p[k] for p in pairs]] if pairs else points[:0] for k in (0, 1))
     return np.minimum(left, right), np.maximum(left, right)
 
 
-def links(distinct: DataFrame, radius: int = 4, parts: int = 3, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
-    """(a, b) of every two distinct fingerprints (column __fp) at most radius bits apart. Collects a bounded sample only."""
-    total = distinct.count()
+def links(distinct: DataFrame, radius: int = 4, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
+    """(a, b) of distinct fingerprints (column __fp) at most radius bits apart, enough to connect all that are; a group
+    of many is not given as all its pairs. Collects a bounded sample only. The blocks are so many that each tree's
+    reach is one bit."""
+    total, parts = distinct.count(), radius // 2 + 1
     drawn = distinct.select("__fp")
     if total > sample:
         drawn = drawn.where(F.pmod(F.xxhash64("__fp"), F.lit(total)) < sample)
