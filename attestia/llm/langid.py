@@ -81,7 +81,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[bytes], labels: list[str], epochs: int = 12, rate: float = 0.5, batch: int = 64, seed: int = 0, lose: float = 0.001) -> Model:
+def train(texts: list[bytes], labels: list[str], epochs: int = 6, rate: float = 0.5, batch: int = 64, seed: int = 0, lose: float = 0.001) -> Model:
     """Fit table, softmax, temperature and threshold; lose is the part of right predictions that may be rejected."""
     languages = sorted(set(labels))
     parts, of, held = [], [], []
