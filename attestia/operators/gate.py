@@ -1,0 +1,52 @@
+"""The outbound gate: secrets and personal data, line by line; findings never carry the value."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# The shapes of credentials and identifiers, by kind.
+SECRETS = {
+    "PRIVATE_KEY_BLOCK": r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----",
+    "OPENAI_STYLE_KEY": r"\bsk-[A-Za-z0-9_\-]{20,}",
+    "GOOGLE_API_KEY": r"\bAIza[0-9A-Za-z_\-]{30,}",
+    "AWS_ACCESS_KEY": r"\bA(?:KIA|SIA)[0-9A-Z]{16}\b",
+    "GITHUB_TOKEN": r"\bgh[pousr]_[A-Za-z0-9]{30,}",
+    "SLACK_TOKEN": r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
+    "JWT": r"\beyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{6,}",
+    "BEARER_HEADER": r"(?i)\bauthorization\s*:\s*bearer\s+[A-Za-z0-9._\-]{16,}",
+    "LABELLED_SECRET": r"(?i)\b(?:api[_-]?key|secret|token|password|passwd|client[_-]?secret|access[_-]?key)\b\s*[:=]\s*[\"']?[A-Za-z0-9._\-/+]{12,}",
+}
+PERSONAL = {
+    "EMAIL": r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b",
+    "US_PHONE": r"(?<![0-9])(?:\+1[ .\-]?)?\(?[0-9]{3}\)?[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9])",
+    "SSN": r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
+    "PASSPORT_NUMBER": r"(?i)\bpassport\s*(?:no|number|#)?\.?\s*[:#]?\s*[A-Z]{0,2}[0-9]{6,9}(?![0-9])",
+    "PAYMENT_CARD": r"(?<![0-9])(?:4[0-9]{3}|5[1-5][0-9]{2}|3[47][0-9]{2}|6011)[ \-]?[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{2,4}(?![0-9])",
+    "BANK_ACCOUNT": r"(?i)\b(?:account|acct|routing)\s*(?:no|number|#)?\.?\s*[:#]?\s*[0-9]{6,17}(?![0-9])",
+}
+#: Where str.splitlines cuts.
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
+
+
+def findings(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, severity, kind, line): one for each line and kind; a scan, without a shuffle."""
+    lines = texts.select(id_col, F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), LINE_END, -1)).alias("__at", "__line"))
+    tested = [F.when(F.col("__line").rlike(p), F.struct(F.lit(s).alias("severity"), F.lit(k).alias("kind"))) for s, t in (("SECRET", SECRETS), ("PII", PERSONAL)) for k, p in t.items()]
+    hits = lines.select(id_col, (F.col("__at") + 1).alias("line"), F.explode(F.filter(F.array(*tested), lambda x: x.isNotNull())).alias("__hit"))
+    return hits.select(id_col, "__hit.severity", "__hit.kind", "line")
+
+
+def scrub(c: Column) -> Column:
+    """Every secret, then every personal item, as a marker that names its kind."""
+    return reduce(lambda x, p: F.regexp_replace(x, p[1], f"[{p[0]}]"), [*SECRETS.items(), *PERSONAL.items()], F.coalesce(c, F.lit("")))
+
+
+def decision(texts: DataFrame, id_col: str, text_col: str, allow_personal: bool = False) -> DataFrame:
+    """(id_col, code): 2 with a secret, 3 with personal data that is not allowed, else 0."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    has = lambda table: reduce(lambda a, b: a | b, [text.rlike(p) for p in table.values()])
+    personal = F.lit(False) if allow_personal else has(PERSONAL)
+    return texts.select(id_col, F.when(has(SECRETS), 2).when(personal, 3).otherwise(0).alias("code"))

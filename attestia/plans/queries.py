@@ -1,0 +1,238 @@
+"""The registered queries of the library's own operators over the driver's tables, with their DuckDB counterparts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from attestia.functions import text as T
+from attestia.operators import gate, mutate, provenance, reconcile
+from attestia.plans import verify
+from attestia.plans.registry import query
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("verdict_counts")
+def verdict_counts(spark, d):
+    found = verify.check(_read(spark, d, "benchmark"), _read(spark, d, "documents"), "item_id", "text", "doc_id", "text")
+    return found.groupBy("verdict", "class").agg(F.count("*").alias("n"))
+
+
+@query("first_occurrence", """
+WITH d AS (SELECT doc_id, trim(regexp_replace(replace(text, '…', '...'), '[\\x09-\\x0D\\x1C-\\x20]+', ' ', 'g')) t FROM documents),
+     b AS (SELECT item_id, trim(regexp_replace(replace(text, '…', '...'), '[\\x09-\\x0D\\x1C-\\x20]+', ' ', 'g')) n FROM benchmark),
+     h AS (SELECT item_id, doc_id, instr(t, n) - 1 AS off FROM b JOIN d ON contains(t, n))
+SELECT item_id, min(doc_id) AS doc_id, CAST(arg_min(off, doc_id) AS INTEGER) AS off, count(*) AS docs FROM h GROUP BY item_id
+""")
+def first_occurrence(spark, d):
+    docs, items = _read(spark, d, "documents"), _read(spark, d, "benchmark")
+    rows = [(r[0], "whole", 0, "t", r[1]) for r in items.select("item_id", T.normalise(F.col("text"))).toLocalIterator()]
+    hits = verify.scan(verify.prepare(docs, "doc_id", "text"), rows).groupBy("q", "doc_ord").agg(F.min("off").alias("off"))
+    return hits.groupBy(F.col("q").alias("item_id")).agg(F.min("doc_ord").alias("doc_id"), F.min_by("off", "doc_ord").alias("off"), F.count("*").alias("docs"))
+
+
+@query("alnum_docs", "SELECT doc_id, length(lower(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g'))) AS n, md5(lower(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g'))) AS digest FROM documents")
+def alnum_docs(spark, d):
+    a = T.alnum(F.col("text"))
+    return _read(spark, d, "documents").select("doc_id", F.char_length(a).cast("long").alias("n"), F.md5(a).alias("digest"))
+
+
+@query("latin_share", "WITH l AS (SELECT doc_id, regexp_replace(text, '\\P{L}', '', 'g') AS x FROM documents) SELECT doc_id, CASE WHEN length(x) > 0 THEN round(length(regexp_replace(x, '[^A-Za-z]', '', 'g')) / length(x), 6) ELSE 0.0 END AS share FROM l")
+def latin_share(spark, d):
+    return _read(spark, d, "documents").select("doc_id", F.round(T.latin_share(F.col("text")), 6).alias("share"))
+
+
+@query("cyrillic_filter", "WITH l AS (SELECT doc_id, regexp_replace(text, '\\P{L}', '', 'g') AS x FROM documents) SELECT doc_id FROM l WHERE NOT (length(x) > 0 AND length(regexp_replace(x, '[^\\x{0400}-\\x{04FF}]', '', 'g')) > 0.4 * length(x))")
+def cyrillic_filter(spark, d):
+    return _read(spark, d, "documents").where(~T.mostly_cyrillic(F.col("text"))).select("doc_id")
+
+
+@query("ellipsis_parts", "SELECT item_id, CAST(len(list_filter(list_transform(string_split_regex(substr(text, 1, 60) || '...' || substr(text, 61), '\\.[ ]?\\.[ ]?\\.|…'), lambda p: trim(p, ' .,;:-—')), lambda p: length(p) >= 25)) AS INTEGER) AS parts FROM benchmark")
+def ellipsis_parts(spark, d):
+    elided = F.concat(F.substring("text", 1, 60), F.lit("..."), F.expr("substring(text, 61)"))
+    return _read(spark, d, "benchmark").select("item_id", F.size(T.ellipsis_parts(elided)).alias("parts"))
+
+
+@query("html_text", """
+SELECT page_id, length(x) AS n, md5(x) AS digest FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+  '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[\\x09-\\x0D\\x1C-\\x20]+', ' ', 'g')) AS x FROM pages)
+""")
+def html_text(spark, d):
+    x = F.trim(F.regexp_replace(T.html_text(F.col("html")), r"[\x09-\x0D\x1C-\x20]+", " "))
+    return _read(spark, d, "pages").select("page_id", F.char_length(x).cast("long").alias("n"), F.md5(x).alias("digest"))
+
+
+@query("placeholder_audit", """
+SELECT doc_id, CASE WHEN length(trim(text)) = 0 THEN 'empty' WHEN length(trim(text)) <= 60 AND regexp_matches(text, '(?i)\\b(access\\s+denied|permission\\s+denied|page\\s+not\\s+found|not\\s+found|forbidden|unauthorized)\\b') THEN 'placeholder'
+  WHEN length(trim(text)) < 200 THEN 'short' ELSE 'indexed' END AS bucket FROM documents
+""")
+def placeholder_audit(spark, d):
+    return provenance.audit(_read(spark, d, "documents"), "doc_id", "text")
+
+
+_RE2 = lambda p: p.replace("(?<![0-9])", "(?:^|[^0-9])").replace("(?![0-9])", "(?:[^0-9]|$)").replace("'", "''")
+
+
+def _gate_sql() -> str:
+    tests = " UNION ALL ".join(
+        f"SELECT doc_id, '{s}' AS severity, '{k}' AS kind, line FROM l WHERE regexp_matches(x, '{_RE2(p)}')" for s, t in (("SECRET", gate.SECRETS), ("PII", gate.PERSONAL)) for k, p in t.items()
+    )
+    cut = "string_split_regex(text, '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]')"
+    return f"WITH s AS (SELECT doc_id, {cut} AS a FROM documents), l AS (SELECT doc_id, unnest(a) AS x, CAST(generate_subscripts(a, 1) AS INTEGER) AS line FROM s) {tests}"
+
+
+@query("gate_findings", _gate_sql())
+def gate_findings(spark, d):
+    return gate.findings(_read(spark, d, "documents"), "doc_id", "text")
+
+
+@query("gate_decisions", """
+SELECT code, count(*) AS n FROM (SELECT CAST(CASE WHEN secret THEN 2 WHEN pii THEN 3 ELSE 0 END AS INTEGER) AS code FROM (SELECT """
+       + " OR ".join(f"regexp_matches(text, '{_RE2(p)}')" for p in gate.SECRETS.values()) + " AS secret, "
+       + " OR ".join(f"regexp_matches(text, '{_RE2(p)}')" for p in gate.PERSONAL.values()) + " AS pii FROM documents)) GROUP BY code")
+def gate_decisions(spark, d):
+    return gate.decision(_read(spark, d, "documents"), "doc_id", "text").groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("scrub_docs")
+def scrub_docs(spark, d):
+    return _read(spark, d, "documents").select("doc_id", gate.scrub(F.col("text")).alias("text"))
+
+
+@query("reconcile_full_outer", """
+SELECT status, count(*) AS n FROM (SELECT CASE WHEN c.id IS NULL THEN 'file_no_cite' WHEN p.id IS NULL THEN 'cited_no_file' ELSE 'matched' END AS status
+  FROM (SELECT DISTINCT l_orderkey + 3 AS id FROM lineitem) c FULL OUTER JOIN (SELECT DISTINCT o_orderkey AS id FROM orders) p USING (id)) GROUP BY status
+""")
+def reconcile_full_outer(spark, d):
+    cited = _read(spark, d, "lineitem").select((F.col("l_orderkey") + 3).alias("id"))
+    return reconcile.reconcile(cited, _read(spark, d, "orders").select(F.col("o_orderkey").alias("id")), "id").groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("numbering_gaps", """
+WITH s AS (SELECT l_partkey AS series, list(DISTINCT l_linenumber) AS seen, max(l_linenumber) AS top FROM lineitem GROUP BY 1)
+SELECT series, CAST(unnest(list_filter(range(1, top + 1), lambda i: NOT list_contains(seen, CAST(i AS INTEGER)))) AS INTEGER) AS missing FROM s
+""")
+def numbering_gaps(spark, d):
+    return reconcile.numbering_gaps(_read(spark, d, "lineitem").select(F.col("l_partkey").alias("series"), F.col("l_linenumber").alias("number")), "series", "number")
+
+
+@query("duplicates_without_part", "SELECT l_orderkey AS id, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1 AND NOT bool_and(l_returnflag = 'N')")
+def duplicates_without_part(spark, d):
+    rows = _read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id"))
+    return rows.agg(F.count("*").alias("n"), F.bool_and(F.col("l_returnflag") == "N").alias("parts")).where("n > 1 AND NOT parts").select("id", "n")
+
+
+@query("field_agreement", """
+WITH a AS (SELECT l_orderkey AS k, max(l_returnflag) AS v FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), b AS (SELECT l_orderkey AS k, max(l_returnflag) AS v FROM lineitem WHERE l_linenumber = 2 GROUP BY 1)
+SELECT count(*) AS fields, count(*) FILTER (WHERE a.v IS NOT NULL AND b.v IS NOT NULL AND trim(a.v) <> trim(b.v)) AS divergent, count(*) FILTER (WHERE a.v IS NULL OR b.v IS NULL) AS one_side FROM a FULL OUTER JOIN b USING (k)
+""")
+def field_agreement(spark, d):
+    rows = _read(spark, d, "lineitem")
+    one, two = (rows.where(F.col("l_linenumber") == k).groupBy(F.col("l_orderkey").alias("k")).agg(F.max("l_returnflag").alias("v")) for k in (1, 2))
+    return reconcile.agreement(one, two, "k", "v")
+
+
+@query("last_answer", """
+SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role = 'assistant') WHERE r = 1
+""")
+def last_answer(spark, d):
+    rows = _read(spark, d, "conversations").where("role = 'assistant'")
+    return rows.groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("x")).select("conv_id", "x.turn", "x.text")
+
+
+@query("queue_cap", "SELECT user_id, count(*) AS found, least(count(*), 40) AS queued, greatest(count(*) - 40, 0) AS dropped FROM events GROUP BY 1")
+def queue_cap(spark, d):
+    n = F.count("*")
+    return _read(spark, d, "events").groupBy("user_id").agg(n.alias("found"), F.least(n, F.lit(40)).alias("queued"), F.greatest(n - 40, F.lit(0)).alias("dropped"))
+
+
+@query("guard_suppression", """
+SELECT event_id, user_id, event_type FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events)
+WHERE before IS NULL OR ts >= before + INTERVAL 12 HOUR
+""")
+def guard_suppression(spark, d):
+    before = F.lag("ts").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
+    rows = _read(spark, d, "events").withColumn("before", before)
+    return rows.where("before IS NULL OR ts >= before + INTERVAL 12 HOURS").select("event_id", "user_id", "event_type")
+
+
+@query("url_classes", """
+SELECT class, count(*) AS n FROM (SELECT CASE WHEN h = '' THEN 'other' WHEN h = 'example.org' OR h LIKE '%.example.org' THEN 'primary' WHEN h LIKE 'blog.%' THEN 'nonauthoritative' ELSE 'other' END AS class
+  FROM (SELECT lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS h FROM pages)) GROUP BY class
+""")
+def url_classes(spark, d):
+    found = provenance.classify(F.col("url"), ["example.org"], ["blog."])
+    return _read(spark, d, "pages").groupBy(found.alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("revision_diff", """
+WITH s AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(text, '[.;:]\\s+'), lambda x: length(x) > 10 AND contains(x, ' '))) AS a FROM documents WHERE doc_id IS NOT NULL),
+     p AS (SELECT o.doc_id, o.a AS old, n.a AS new FROM s o JOIN s n ON n.doc_id = o.doc_id + 1)
+SELECT doc_id, CAST(len(list_filter(old, lambda x: NOT list_contains(new, x))) AS INTEGER) AS gone, CAST(len(list_filter(new, lambda x: NOT list_contains(old, x))) AS INTEGER) AS added,
+       CAST(len(list_filter(old, lambda x: list_contains(new, x))) AS INTEGER) AS kept FROM p
+""")
+def revision_diff(spark, d):
+    docs = _read(spark, d, "documents")
+    return reconcile.revisions(docs.select("doc_id", "text"), docs.select((F.col("doc_id") - 1).alias("doc_id"), "text"), "doc_id", "text")
+
+
+@query("mutation_insert_not", "SELECT doc_id, regexp_replace(text, '(?i)\\b(shall|may|must|will|can)\\b', '\\1 not') AS mutant FROM documents WHERE regexp_matches(text, '(?i)\\b(shall|may|must|will|can)\\b')")
+def mutation_insert_not(spark, d):
+    return mutate.apply(_read(spark, d, "documents"), "doc_id", "text", "insert_not")
+
+
+@query("mutation_drop_not", "SELECT doc_id, substr(text, 1, instr(text, ' not ') - 1) || ' ' || substr(text, instr(text, ' not ') + 5) AS mutant FROM documents WHERE contains(text, ' not ')")
+def mutation_drop_not(spark, d):
+    return mutate.apply(_read(spark, d, "documents"), "doc_id", "text", "drop_not")
+
+
+@query("mutation_digit", "SELECT doc_id, regexp_replace(text, '[0-9]', CAST((CAST(regexp_extract(text, '[0-9]') AS INTEGER) + 5) % 10 AS VARCHAR)) AS mutant FROM documents WHERE regexp_matches(text, '[0-9]')")
+def mutation_digit(spark, d):
+    return mutate.apply(_read(spark, d, "documents"), "doc_id", "text", "digit")
+
+
+@query("mutation_report")
+def mutation_report(spark, d):
+    """Verdicts on damaged quotations: how many of each damage are caught."""
+    items = _read(spark, d, "benchmark").select("item_id", T.normalise(F.col("text")).alias("text"))
+    made = mutate.bank(items, "item_id", "text")
+    found = verify.check(made, _read(spark, d, "documents"), "id", "mutant", "doc_id", "text")
+    hit = F.col("class") == "DANGEROUS"
+    return made.join(found, made.id == found.q).groupBy("mutation").agg(F.count("*").alias("applicable"), F.count_if(hit).alias("caught"), F.count_if(~hit).alias("missed"))
+
+
+@query("quote_dedup_sites", "SELECT lower(trim(text)) AS k, count(*) AS sites, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
+def quote_dedup_sites(spark, d):
+    rows = _read(spark, d, "documents").groupBy(F.lower(F.trim("text")).alias("k"))
+    return rows.agg(F.count("*").alias("sites"), F.min("doc_id").alias("first_doc")).where("sites > 1")
+
+
+@query("bank_anti_join", "SELECT doc_id FROM documents WHERE lower(trim(text)) NOT IN (SELECT lower(trim(text)) FROM documents WHERE doc_id % 7 = 0)")
+def bank_anti_join(spark, d):
+    docs = _read(spark, d, "documents").select("doc_id", F.lower(F.trim("text")).alias("k"))
+    return docs.join(docs.where("doc_id % 7 = 0").select("k"), "k", "left_anti").select("doc_id")
+
+
+@query("shingle_counts", "SELECT item_id, CAST(greatest(len(string_split(text, ' ')) - 5, 0) AS INTEGER) AS shingles FROM (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM benchmark)")
+def shingle_counts(spark, d):
+    return _read(spark, d, "benchmark").select("item_id", F.size(T.samples(F.col("text"), 6, 1 << 20)).alias("shingles"))
+
+
+@query("reviewer_grid", """
+SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'assistant') AS answers, count(*) FILTER (WHERE length(text) < 200) AS floor FROM conversations GROUP BY conv_id
+""")
+def reviewer_grid(spark, d):
+    rows = _read(spark, d, "conversations").groupBy("conv_id")
+    return rows.agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "assistant").alias("answers"), F.count_if(F.char_length("text") < 200).alias("floor"))
+
+
+@query("tier_grid", """
+SELECT lang, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS a, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS b, count(*) FILTER (WHERE toxic = 1) AS c FROM documents JOIN labels USING (doc_id) GROUP BY lang
+""")
+def tier_grid(spark, d):
+    tier = F.when(F.col("toxic") == 1, "c").when(F.col("quality") == 1, "a").otherwise("b")
+    rows = _read(spark, d, "documents").select("doc_id", "lang").join(_read(spark, d, "labels"), "doc_id")
+    return rows.withColumn("tier", tier).groupBy("lang").pivot("tier", ["a", "b", "c"]).count().na.fill(0)
