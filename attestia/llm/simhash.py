@@ -83,7 +83,8 @@ class Tree:
                 at = np.bincount(np.bitwise_count(points ^ v), minlength=65)
                 within = np.cumsum(at)
                 for mu in range(64):
-                    if 4 * min(within[mu], len(points) - within[mu]) >= len(points):
+                    alone = within[mu - self.reach] if mu >= self.reach else 0  # inside and not copied outside
+                    if 8 * min(alone, len(points) - within[mu]) >= len(points):
                         copied = at[max(0, mu - self.reach + 1) : mu + 1].sum() if self.reach else 0
                         if best is None or copied < best[0]:
                             best = (copied, v, mu)
