@@ -1,5 +1,6 @@
 """The training-data operators against brute force, and on nulls, empty texts, ties, repeated rows and empty tables."""
 
+import random
 import zlib
 
 import numpy as np
@@ -248,3 +249,38 @@ def test_ppm_sums_to_one_and_scores(docs, none):
             assert abs(r.base_score - want) < 1e-6 * abs(want) and r.n_known == sum(t in learned for t in tokens) and r.train_tokens == n
     assert ppm.digest(none).count() == 0
     assert ppm.adaptive(b"abcabcabcabc") < 12 * 8
+
+
+def test_near_components_against_exact_similarity(spark):
+    rng = random.Random(5)
+    base = [" ".join(rng.choices(["word%d" % k for k in range(900)], k=300)) for _ in range(40)]
+
+    def changed(text, n):
+        words = text.split()
+        for at in rng.sample(range(len(words)), n):
+            words[at] = "other"
+        return " ".join(words)
+
+    texts = base + [changed(t, 5) for t in base] + [changed(t, 150) for t in base] + [None, "", " \n", base[0].upper()] + [changed(base[1], 3) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shingles = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in ((t or "").lower().split() for t in texts)]
+    got = {r.doc_id: r.component_id for r in simhash.near_components(docs).collect()}
+    assert got.keys() == set(range(len(texts)))
+    alike = [(a, b) for b in range(len(texts)) for a in range(b) if shingles[a] and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
+    assert len(alike) > 100 and all(got[a] == got[b] for a, b in alike)
+    assert all(got[k] == k for k in range(80, 120)) and got[120] == got[121] == got[122] == 120
+    assert simhash.near_components(docs.limit(0)).count() == 0
+
+
+def test_connected_links_as_all_pairs_do():
+    rng = np.random.default_rng(3)
+    points = rng.integers(0, 1 << 63, (300, 2), np.uint64)
+    points[100:] = points[7] ^ (np.uint64(1) << rng.integers(0, 64, (200, 2)).astype(np.uint64))
+    points[290:] ^= np.uint64(0b1011)
+    for radius in (3, 5, 60):
+        part = (points[:, 0] & np.uint64(0xFFFFF)).astype(np.uint32)
+        i, j = simhash.connected(points, part, 20, radius)
+        ours, theirs = np.arange(300), np.arange(300)
+        simhash.joined(ours, i, j)
+        simhash.joined(theirs, *np.nonzero(np.bitwise_count(points[:, None] ^ points[None]).sum(axis=2) <= radius))
+        assert len(i) < 300 and ours.tolist() == theirs.tolist()
