@@ -7,8 +7,10 @@ the context has different followers) leads to the next shorter context, where th
 below the empty context all bytes left are equally likely.
 
 Pretrained scoring counts the training documents in one distributed pass, by their longest contexts alone, as the counts
-of shorter ones are sums of these. The trie goes to every task. It holds at most ENTRIES followers: the order is the
-largest, up to the asked one, whose trie is within that, and order 2 is always (256 cubed). Adaptive coding
+of shorter ones are sums of these. The counts of all orders stay tables, keyed by context; the order is the same at every
+size. What a byte costs is a function of its longest context and itself alone, so that the costs of the ENTRIES commonest
+such grams are sent to the tasks; the grams of a document that are not among them are counted in it and meet their costs
+in a join, each distinct one escaping through the tables once. ``Trie`` is the same model in one process. Adaptive coding
 (``adaptive``) learns from the document itself as it goes.
 
 The base's word counts are not bounded: the commonest HOT words are sent to the tasks, and the other words of a document
@@ -76,6 +78,17 @@ def hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((digest(w) for w in distinct), np.uint64, len(distinct)), coded.indices.to_numpy()
 
 
+def tallied(code: np.ndarray, wanted: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct wanted codes of each stream, how often it has each, the streams' bounds therein)."""
+    at = np.nonzero(wanted)[0]
+    row = np.searchsorted(edges, at, "right") - 1
+    order = np.lexsort((code[at], row))
+    keys, row = code[at][order], row[order]
+    start = np.nonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])]))[0] if len(keys) else np.zeros(0, np.int64)
+    lots = np.searchsorted(row[start], np.arange(len(edges))).astype(np.int32)
+    return keys[start].view(np.int64), np.diff(np.append(start, len(keys))), lots
+
+
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     unique, inverse = np.unique(keys, return_inverse=True)
     return unique, np.bincount(inverse, n, len(unique)).astype(np.int64)
@@ -177,20 +190,80 @@ def gather(docs: DataFrame, text_col: str, order: int) -> DataFrame:
     return keep(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
 
 
-def learn(counts: DataFrame, order: int = ORDER, entries: int = ENTRIES) -> Trie:
-    """The trie of the gathered grams, of the largest order within entries."""
-    found = counts.where("kind = 1").select("key", "n")
-    kept = order
-    while kept > 1 and found.limit(entries + 1).count() > entries:
-        kept -= 1
-        found = keep(found.groupBy(F.expr(f"key & {(1 << 8 * (kept + 1)) - 1}L").alias("key")).agg(F.sum("n").alias("n")), "shorter")
-    table = found.toArrow()
-    keys, n = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
-    at = np.argsort(keys)
-    return Trie(keys[at], n[at], kept)
+def learn(counts: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(grams, contexts) of each order from the empty context up, as written tables.
 
-
-def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, hot: int = HOT) -> DataFrame:
+    grams: key, n. contexts: context, total, followers, and from order 1 on what a byte refused here meets in the next
+    shorter context, these followers excluded: left, other (counts and followers). A context has at most 256 followers.
+    """
+    grams = [counts.where("kind = 1").select("key", "n")]
+    for j in range(order - 1, -1, -1):
+        shorter = grams[0].groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
+        grams.insert(0, keep(shorter, f"grams{j}"))
+    contexts = []
+    for j, table in enumerate(grams):
+        here = table.select("key", "n", F.shiftright("key", 8).alias("context"))
+        sums = [F.sum("n").alias("total"), F.count("*").alias("followers")]
+        if not j:
+            contexts.append(keep(here.groupBy("context").agg(*sums), "contexts0"))
+            continue
+        below = small(grams[j - 1].select(F.col("key").alias("__key"), F.col("n").alias("__n")), j)
+        here = here.join(below, F.col("key").bitwiseAND(F.lit((1 << 8 * j) - 1)) == F.col("__key"))
+        found = here.groupBy("context").agg(*sums, F.sum("__n").alias("__mass"))
+        under = small(contexts[j - 1].select(F.col("context").alias("__context"), F.col("total").alias("__total"), F.col("followers").alias("__followers")), j - 1)
+        found = found.join(under, F.col("context").bitwiseAND(F.lit((1 << 8 * (j - 1)) - 1)) == F.col("__context"))
+        left, other = (F.col("__total") - F.col("__mass")).alias("left"), (F.col("__followers") - F.col("followers")).alias("other")
+        contexts.append(keep(found.select("context", "total", "followers", left, other), f"contexts{j}"))
+    return grams, contexts
+
+
+def small(table: DataFrame, width: int) -> DataFrame:
+    """A table keyed by so many bytes: sent whole where it has 65,536 rows at most by nature, as its keys are hot."""
+    return F.broadcast(table) if width <= 2 else table
+
+
+def costs(codes: DataFrame, grams: list[DataFrame], contexts: list[DataFrame]) -> DataFrame:
+    """(key, log): the natural logarithm of the probability of each distinct gram (column key); Trie.logs over tables."""
+    order = len(grams) - 1
+    zero, none = F.lit(0.0), F.lit(None).cast("long")
+    now = codes.select("key", zero.alias("log"), F.lit(False).alias("done"), none.alias("left"), none.alias("other"))
+    for j in range(order, -1, -1):
+        gram, context = F.col("key").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)), F.shiftright(F.col("key"), 8).bitwiseAND(F.lit((1 << 8 * j) - 1))
+        bounds = [F.col("left").alias("__left"), F.col("other").alias("__other")] if j else [none.alias("__left"), none.alias("__other")]
+        now = now.join(small(grams[j].select(F.col("key").alias("__key"), "n"), j + 1), gram == F.col("__key"), "left")
+        named = contexts[j].select(F.col("context").alias("__context"), "total", "followers", *bounds)
+        now = now.join(small(named, j), context == F.col("__context"), "left")
+        # left is null where no longer context has refused the byte; both are null where this context is unseen too
+        seats = F.coalesce("other", "followers")
+        whole = F.log(F.greatest(F.coalesce("left", "total") + seats, F.lit(1)).cast("double"))
+        escape = F.when(F.coalesce("left", "total") + seats > 0, F.log(F.greatest(seats, F.lit(1)).cast("double")) - whole)
+        step = F.when(F.col("n").isNotNull(), F.log(F.col("n").cast("double")) - whole).otherwise(F.coalesce(escape, zero))
+        log = F.col("log") + F.when(F.col("done"), zero).otherwise(step)
+        now = now.select("key", log.alias("log"), (F.col("done") | F.col("n").isNotNull()).alias("done"), F.col("__left").alias("left"), F.col("__other").alias("other"))
+    seen = contexts[0].agg(F.coalesce(F.max("followers"), F.lit(0)).alias("__seen"))  # one row
+    last = -F.log(F.greatest(F.lit(256) - F.col("__seen"), F.lit(1)).cast("double"))
+    return now.crossJoin(F.broadcast(seen)).select("key", (F.col("log") + F.when(F.col("done"), zero).otherwise(last)).alias("log"))
+
+
+def hits(grams: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(key, n, log) of the longest grams that were learned."""
+    named = contexts.select(F.col("context").alias("__context"), (F.col("total") + F.col("followers")).alias("__whole"))
+    found = grams.join(named, F.shiftright("key", 8) == F.col("__context"))
+    return found.select("key", "n", (F.log(F.col("n").cast("double")) - F.log(F.col("__whole").cast("double"))).alias("log"))
+
+
+def rarest(grams: DataFrame, entries: int) -> int:
+    """The least count such that at most so many grams have it or more. Collects a row for each different count: their
+    number grows with the root of the text's size."""
+    held = 0
+    for n, grams_ in sorted(grams.groupBy("n").count().collect(), reverse=True):
+        held += grams_
+        if held > entries:
+            return n + 1
+    return 0
+
+
+def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, hot: int = HOT, entries: int = ENTRIES) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; logarithms to base 10.
 
     training is a condition over docs; rows where it is null are trained on. Tokens are the words and one end. Null and
@@ -203,24 +276,29 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     totals = {r[0]: (r[1], r[2]) for r in counts.groupBy("kind").agg(F.sum("n"), F.count("*")).collect()}
     ends = totals.get(2, (0, 0))[0]
     tokens, kinds = totals.get(0, (0, 0))[0] + ends, totals.get(0, (0, 0))[1] + (ends > 0)
-    trie = learn(counts, order)
+    grams_, contexts = learn(counts, order)
+    top = hits(grams_[-1], contexts[-1]).where(F.col("n") >= rarest(grams_[-1], entries)).select("key", "log").toArrow()
+    codes = top.column(0).to_numpy().view(np.uint64)
     words = counts.where("kind = 0").select("key", "n")
     common = words.orderBy(F.desc("n"), "key").limit(hot).toArrow()
     log_all = float(np.log10(max(tokens + 0.5 * (kinds + 1), 1)))
     keys = common.column(0).to_numpy().view(np.uint64)
-    sent = spark.sparkContext.broadcast((trie, Places(keys), np.log10(common.column(1).to_numpy() + 0.5) - log_all))
+    sent = spark.sparkContext.broadcast((codes, top.column(1).to_numpy(), Places(keys), np.log10(common.column(1).to_numpy() + 0.5) - log_all))
     end_log = float(np.log10(ends + 0.5)) - log_all
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["__row", id_col, "held_out", "n_tokens", "known", "base", "score", "rare"]
+    names = ["__row", id_col, "held_out", "n_tokens", "known", "base", "score", "rare", "missed", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, places, logs = sent.value
+        codes, costs_, places, logs = sent.value
+        cached = Places(codes)
         numbers = count(TaskContext.get().partitionId() << 40)
         for batch in batches:
             for b in sliced(batch, text_col, SLICE):
-                found, lengths, stream, bounds = streams(b.column(1), trie.order)
-                code, edges = grams(stream, bounds, trie.order)
-                sums = np.add.reduceat(trie.logs(code), edges[:-1]) / LN10
+                found, lengths, stream, bounds = streams(b.column(1), order)
+                code, edges = grams(stream, bounds, order)
+                at = cached.find(code)
+                sums = np.add.reduceat(np.where(at >= 0, costs_[at] if len(costs_) else 0.0, 0.0), edges[:-1])
+                missed, times, lots = tallied(code, at < 0, edges)
                 distinct, index = hashes(found)
                 place = places.find(distinct)[index]
                 row = np.repeat(np.arange(b.num_rows), lengths)
@@ -230,17 +308,21 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
                 rare = np.bincount(row[~is_hot], minlength=b.num_rows)
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(rare)]).astype(np.int32), distinct[index[~is_hot]].view(np.int64))
                 ids = pa.array([next(numbers) for _ in range(b.num_rows)], pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, b.column(0), b.column(2), pa.array(lengths + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(sums), lists], names)
+                yield pa.RecordBatch.from_arrays([ids, b.column(0), b.column(2), pa.array(lengths + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(sums), lists, *(pa.ListArray.from_arrays(lots, x) for x in (missed, times))], names)
 
-    schema = f"__row long, `{id_col}` {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>"
+    schema = f"__row long, `{id_col}` {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, missed array<long>, times array<long>"
     rows = keep(docs.select(id_col, text_col, held_out.alias("held_out")).mapInArrow(run, schema), "scores")
     rare = rows.select("__row", F.explode("rare").alias("key")).join(words, "key", "left")
     more = rare.groupBy("__row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5) - log_all).alias("__base"), F.count("n").alias("__known"))
-    out = rows.drop("rare").join(more, "__row", "left")
+    missed = rows.select("__row", F.explode(F.arrays_zip("missed", "times")).alias("x")).select("__row", F.col("x.missed").alias("key"), F.col("x.times").alias("times"))
+    priced = keep(costs(missed.select("key").distinct(), grams_, contexts), "costs")
+    cost = missed.join(priced, "key").groupBy("__row").agg(F.sum(F.col("times") * F.col("log")).alias("__cost"))
+    out = rows.drop("rare", "missed", "times").join(more, "__row", "left").join(cost, "__row", "left")
     zero = F.lit(0)
     return out.select(
         id_col, "held_out", "n_tokens", (F.col("known") + F.coalesce("__known", zero)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("__base", zero.cast("double"))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("__base", zero.cast("double"))).alias("base_score"),
+        ((F.col("score") + F.coalesce("__cost", zero.cast("double"))) / LN10).alias("score"),
     )
 
 

@@ -251,6 +251,24 @@ def test_ppm_sums_to_one_and_scores(docs, none):
     assert ppm.adaptive(b"abcabcabcabc") < 12 * 8
 
 
+def test_ppm_keeps_its_order_when_the_cache_is_small(spark, docs):
+    table = docs.unionByName(spark.createDataFrame([(20 + k, prose(8, 3000)[k : k + 900] + f" odd{k} zq", "xy", "s1", 0, "clash") for k in range(6)], DOCS))
+    rows = [(r.doc_id, r.text) for r in table.collect()]
+    learned = pa.array([t for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 5 == 1], pa.string())
+    _, _, stream, bounds = ppm.streams(learned, ppm.ORDER)
+    trie = ppm.Trie(*np.unique(ppm.grams(stream, bounds, ppm.ORDER)[0], return_counts=True), ppm.ORDER)
+    want = []
+    for i, t in rows:
+        _, _, stream, bounds = ppm.streams(pa.array([t], pa.string()), ppm.ORDER)
+        want.append((i is None, i, trie.logs(ppm.grams(stream, bounds, ppm.ORDER)[0]).sum() / np.log(10)))
+    for entries in (50,):
+        got = [(r.doc_id is None, r.doc_id, r.score) for r in ppm.score(table, ppm.crc_mod("doc_id", 5) == 1, entries=entries).collect()]
+        for (_, i, a), (_, j, b) in zip(sorted(want, key=repr), sorted(got, key=repr), strict=True):
+            assert i == j and abs(a - b) < 1e-5 * abs(a)
+    found = ppm.score(table, F.lit(False)).collect()
+    assert all(abs(r.score + (len(" ".join((t or "").lower().split())) + 1) * np.log10(256)) < 1e-6 * abs(r.score) for r in found for i, t in rows if i == r.doc_id)
+
+
 def test_near_components_against_exact_similarity(spark):
     rng = random.Random(5)
     base = [" ".join(rng.choices(["word%d" % k for k in range(900)], k=300)) for _ in range(40)]
