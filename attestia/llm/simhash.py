@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestia.llm.common import keep, mix64, payloads
@@ -226,18 +226,24 @@ def stars(edges: DataFrame) -> DataFrame:
         now = keep(small.where("u <> v").distinct(), "small")
 
 
+def tag(text_col: str) -> Column:
+    """A hash of the text; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """(id_col, __fp, __w0, __w1, ...) of every row: the LANES words of its wide fingerprint and a 64-bit key of them."""
+    """(id_col, __tag, __fp, __w0, __w1, ...) of every row: a hash of its text, the LANES words of its wide fingerprint
+    and a 64-bit key of them."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hashes = [shingle_hashes(t, words) for t in payloads(b.column(1))]
             lanes = [np.array([majority(mix64(h, k)) for h in hashes], np.uint64).view(np.int64) for k in range(LANES)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, lanes)], [id_col, *WORDS])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *map(pa.array, lanes)], [id_col, "__tag", *WORDS])
 
-    found = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{w} long" for w in WORDS))
-    return found.select(id_col, F.xxhash64(*WORDS).alias("__fp"), *WORDS)
+    found = docs.select(id_col, text_col, tag(text_col).alias("__tag")).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{w} long" for w in ["__tag", *WORDS]))
+    return found.select(id_col, "__tag", F.xxhash64(*WORDS).alias("__fp"), *WORDS)
 
 
 def connected(points: np.ndarray, part: np.ndarray, reach: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -318,15 +324,17 @@ def wide_links(distinct: DataFrame, radius: int, leaf: int = 2 * LEAF, sample: i
 
 
 def named(marked: DataFrame, distinct: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
-    """marked with component_id: the smallest id (__low of distinct) that a row's __fp reaches over edges (a, b)."""
+    """marked with component_id, the smallest id (__low of distinct) that a row's __fp reaches over edges (a, b), and
+    __root, the same __fp for all rows of a component."""
     linked = keep(stars(edges), "stars")
     lows = distinct.select("__fp", "__low")
     member = linked.join(lows, linked.node == lows["__fp"]).select("node", "root", "__low")
     roots = linked.select(F.col("root").alias("node"), "root").distinct().join(lows, F.col("node") == lows["__fp"]).select("node", "root", "__low")
     member = keep(member.union(roots), "members")
     low = member.groupBy("root").agg(F.min("__low").alias("__least"))
-    found = member.join(low, "root").select(F.col("node").alias("__node"), "__least")
-    found = lows.join(found, lows["__fp"] == found["__node"], "left").select(lows["__fp"], F.coalesce("__least", "__low").alias("component_id"))
+    found = member.join(low, "root").select(F.col("node").alias("__node"), F.col("root").alias("__to"), "__least")
+    found = lows.join(found, lows["__fp"] == found["__node"], "left")
+    found = found.select("__fp", F.coalesce("__to", "__fp").alias("__root"), F.coalesce("__least", "__low").alias("component_id"))
     return marked.join(found, "__fp")
 
 
@@ -345,18 +353,25 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     58 +- 7, those with a similarity of 0.5 in 103 +- 9. A link of exactly 0.8 is found with a chance of about 0.93, one
     of 0.85 with 0.99. Null and empty texts form one group.
     """
+    return near_rows(docs, id_col, text_col, words, radius).select(id_col, "component_id")
+
+
+def near_rows(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int) -> DataFrame:
+    """(id_col, __tag, __fp, __root, component_id) of every row: what near_components and firsts are made of."""
     marked = keep(wide_fingerprints(docs, id_col, text_col, words), "fingerprints")
     distinct = keep(marked.groupBy("__fp", *WORDS).agg(F.min(id_col).alias("__low")), "distinct")
-    return named(marked.select(id_col, "__fp"), distinct, wide_links(distinct, radius), id_col).select(id_col, "component_id")
+    return named(marked.select(id_col, "__tag", "__fp"), distinct, wide_links(distinct, radius), id_col)
 
 
 def firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = RADIUS) -> DataFrame:
     """docs without the rows of a component (near_components) beyond the one with its smallest id; all its columns, texts whole.
 
-    Rows that repeat the smallest id count as copies too: one of them stays. Rows without an id stay only where the
-    component has no id at all, one for each component.
+    One row of each component stays: that of the smallest id, null after all others, and of the smallest text hash where
+    rows of one id differ. Rows of different components that share an id, or have none, are documents of their own.
     """
-    found = near_components(docs, id_col, text_col, words, radius)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct()
-    out = docs.join(kept, docs[id_col].eqNullSafe(kept["__keep"]), "left_semi")
-    return out.dropDuplicates([id_col])
+    found = near_rows(docs, id_col, text_col, words, radius)
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__tag").alias("tag"))).alias("__first")
+    kept = found.groupBy("__root").agg(first).select(F.col("__first.id").alias("__keep"), F.col("__first.tag").alias("__kept"))
+    marked = docs.withColumn("__tag", tag(text_col))
+    out = marked.join(kept, marked[id_col].eqNullSafe(kept["__keep"]) & (marked["__tag"] == kept["__kept"]), "left_semi")
+    return out.dropDuplicates([id_col, "__tag"]).drop("__tag")  # rows of one id and text are in one component

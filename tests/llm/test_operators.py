@@ -172,6 +172,12 @@ def test_simhash(docs, none):
     assert kept.count(3) == 1 and 4 not in kept and 11 not in kept and simhash.firsts(docs).columns == docs.columns
 
 
+def test_firsts_of_rows_that_share_an_id(spark):
+    texts = [(None, prose(31, 80)), (None, prose(32, 80)), (None, prose(32, 80)), (1, prose(33, 80)), (5, prose(34, 80)), (5, prose(33, 80)), (5, prose(34, 80))]
+    kept = simhash.firsts(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted({texts[0], texts[1], texts[3], texts[4]}, key=repr)
+
+
 def test_close_pairs_connect_all():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 40).astype(np.uint64)
