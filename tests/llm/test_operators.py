@@ -49,6 +49,13 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.remove(docs).columns == docs.columns
 
 
+def test_every_round_of_a_passage_goes(spark):
+    notice, apart = prose(41, 60), prose(42, 100)
+    rows = [(1, prose(43, 90) + " " + notice), (2, prose(44, 40) + " " + " ".join([notice] * 3)), (3, prose(45, 40) + f" {notice} {apart} {notice} " + prose(46, 40))]
+    left = {r.doc_id: r.text.split() for r in substring_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(left[1]) == 150 and abs(len(left[2]) - 40) <= 2 and abs(len(left[3]) - 180) <= 4
+
+
 def test_windows_cover_every_subsequence():
     rng = np.random.default_rng(0)
     code = rng.integers(1, 1 << 60, 60).astype(np.uint64)
