@@ -120,32 +120,43 @@ def plan(sized: DataFrame, most: int = MOST) -> DataFrame:
     return joined.groupBy("__source").applyInPandas(by_source, schema)
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
-    """(id_col, size, source_size, target, __copies) of every row: how often the mix takes it.
+def placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, whole: bool) -> DataFrame:
+    """__id, __size, source_size, target, __copies of every row; where whole, also the row itself as __row.
 
-    Null and empty texts have size 0 and are never taken. A null source is a source, the last. Rows that repeat a doc_id
-    are documents of their own; equal rows are told apart by nothing and share their lot. An empty table gives no rows.
+    Rows of one id are ranked by a hash of their texts where whole.
     """
-    sized = docs.select(F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("__source"), words(F.col(text_col)).alias("__size"))
-    sized = keep(sized.withColumn("__u", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "__id"), 11) / F.lit(float(1 << 53))), "sizes")
-    planned = keep(plan(sized), "plan")
+    more = [F.xxhash64(text_col).alias("__tie"), F.struct(*docs.columns).alias("__row")] if whole else []
+    sized = docs.select(F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("__source"), words(F.col(text_col)).alias("__size"), *more)
+    sized = sized.withColumn("__u", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "__id"), 11) / F.lit(float(1 << 53)))
+    sized = sized if whole else keep(sized, "sizes")
+    planned = keep(plan(sized.select("__source", "__size")), "plan")
     named = planned.select(F.col("__source").alias("__s"), F.col("__size").alias("__n"), "__count", "source_size", "target", "__rounds", "__extra")
-    placed = sized.join(named, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n"))).drop("__s", "__n")
+    rows = sized.join(named, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n"))).drop("__s", "__n")
     partly = (F.col("__extra") > 0) & (F.col("__extra") < F.col("__count"))
-    placed = placed.withColumn("__range", F.when(partly, F.floor(F.col("__u") * F.ceil(F.sqrt("__count")))))
-    open_ = placed.where(partly)
+    rows = rows.withColumn("__range", F.when(partly, F.floor(F.col("__u") * F.ceil(F.sqrt("__count")))))
+    open_ = rows.where(partly)
     counted = open_.groupBy("__source", "__size", "__range", "__extra").agg(F.count("*").alias("__here"))
     before = F.sum("__here").over(Window.partitionBy("__source", "__size").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
     edge = counted.withColumn("__before", F.coalesce(before, F.lit(0))).where((F.col("__before") < F.col("__extra")) & (F.col("__before") + F.col("__here") >= F.col("__extra")))
     edge = edge.select(F.col("__source").alias("__s"), F.col("__size").alias("__n"), F.col("__range").alias("__edge"), (F.col("__extra") - F.col("__before")).alias("__last"))
     edge = keep(edge, "edges")
-    cut = placed.join(edge, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n")), "left").drop("__s", "__n")
+    cut = rows.join(edge, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n")), "left").drop("__s", "__n")
     sure = cut.where(F.col("__edge").isNull() | (F.col("__range") != F.col("__edge")))
     sure = sure.withColumn("__more", F.when(F.col("__edge").isNull(), F.col("__extra") > 0).otherwise(F.col("__range") < F.col("__edge")).cast("long"))
-    rank = F.row_number().over(Window.partitionBy("__source", "__size").orderBy("__u", "__id"))
+    rank = F.row_number().over(Window.partitionBy("__source", "__size").orderBy("__u", "__id", *["__tie"] * whole))
     close = cut.where(F.col("__range") == F.col("__edge")).withColumn("__more", (rank <= F.col("__last")).cast("long"))
-    both = sure.unionByName(close)
-    return both.select(F.col("__id").alias(id_col), F.col("__size").alias("size"), "source_size", "target", (F.col("__rounds") + F.col("__more")).alias("__copies"))
+    both = sure.unionByName(close).withColumn("__copies", F.col("__rounds") + F.col("__more"))
+    return both.select("__id", "__size", "source_size", "target", "__copies", *["__row"] * whole)
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
+    """(id_col, size, source_size, target, __copies) of every row: how often the mix takes it.
+
+    Null and empty texts have size 0 and are never taken. A null source is a source, the last. Rows that repeat a doc_id
+    are documents of their own; equal rows are told apart by nothing and share their lot. An empty table gives no rows.
+    """
+    found = placed(docs, id_col, text_col, source_col, seed, False)
+    return found.select(F.col("__id").alias(id_col), F.col("__size").alias("size"), "source_size", "target", "__copies")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -157,8 +168,7 @@ def digest(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it is taken; all columns of docs, texts whole.
 
-    Rows that share a doc_id are taken as often as the most taken of them.
+    Rows that share a doc_id, or have none, are taken each by its own lot.
     """
-    often = copies(docs, id_col, text_col, source_col, seed).groupBy(F.col(id_col).alias("__id")).agg(F.max("__copies").alias("__copies"))
-    out = docs.join(often.where("__copies > 0"), F.col(id_col).eqNullSafe(F.col("__id")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    found = placed(docs, id_col, text_col, source_col, seed, True).where("__copies > 0")
+    return found.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col("__row")[c].alias(c) for c in docs.columns])

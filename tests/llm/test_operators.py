@@ -112,6 +112,18 @@ def test_mixing(docs, none):
     assert mixing.targets([10, 100, 0], [1, 2, 3]) == [30.0, 80.0, 0.0]
 
 
+def test_mix_takes_rows_of_one_id_each_by_its_lot(spark):
+    rows = [(None if k % 2 else 7, prose(k, 5 + k % 9), "abc"[k % 3 if k < 30 else 0]) for k in range(90)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).cache()
+    taken = dict.fromkeys("abc", 0)
+    for r in mixing.mix(table).collect():
+        taken[r.source] += len(r.text.split())
+    sizes = [sum(len(t.split()) for _, t, s in rows if s == x) for x in "abc"]
+    goals = mixing.targets(sizes, [1, 2, 3])
+    assert sum(taken.values()) == sum(r.taken for r in mixing.digest(table).collect())
+    assert all(g - 14 <= taken[x] <= g + 1 for x, g in zip("abc", goals))
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 6), min_size=1, max_size=6), st.floats(0, 1))
 def test_fit_is_the_nearest_sum(lengths, share):
