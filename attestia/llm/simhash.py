@@ -7,6 +7,9 @@ its own over the Hamming distance within the block: a node splits its points by
 the points so near to the boundary that a partner may lie beyond are put on both sides. The leaves are the shards;
 every pair within the radius meets in a shard, where the whole distance is tested, again behind a triangle bound.
 
+Near-duplicate texts (``near_components``, ``firsts``) are found by wide fingerprints of their sets of shingles, whose
+blocks make candidates; each link is then verified on the sets themselves.
+
 Null and empty texts have fingerprint zero and link like any other. Rows that repeat a doc_id are rows of their own;
 a null doc_id takes part, but never names a component unless all ids in it are null. An empty table gives no rows.
 """
@@ -14,6 +17,7 @@ a null doc_id takes part, but never names a component unless all ids in it are n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb, log2
 
 import numpy as np
 import pandas as pd
@@ -28,10 +32,10 @@ from attestia.llm.common import keep, mix64, payloads
 SHINGLE_SEED = 42
 #: A leaf of a tree is to hold about so many fingerprints.
 LEAF = 1024
-#: Trees are planned on at most about so many fingerprints, drawn by hash.
-SAMPLE = 1 << 17
-#: Words of 64 bits in a wide fingerprint, and the bits in which texts that count as near may differ.
-LANES, RADIUS = 6, 70
+#: Words of 64 bits in a wide fingerprint, and the bits in which candidates for a similarity of SIMILAR may differ.
+LANES, RADIUS, SIMILAR = 6, 76, 0.8
+#: Candidates that differ in at most so many bits are hardly ever refused.
+SURE = 48
 WORDS = [f"__w{k}" for k in range(LANES)]
 
 
@@ -81,59 +85,47 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class Tree:
-    """A vantage-point tree over the Hamming distance within one block of bits."""
-
-    def __init__(self, mask: int, reach: int, sample: np.ndarray, leaves: int, seed: int):
-        self.mask, self.reach = np.uint64(mask), reach
-        self.nodes: list[tuple[int, int, int, int]] = []  # vantage point, radius, inside, outside; a leaf is -1 - its number
-        self.leaves = 0
-        self.rng = np.random.default_rng(seed)
-        self.root = self._grow(sample & self.mask, max(1, len(sample) // max(1, leaves)))
-
-    def _grow(self, points: np.ndarray, small: int) -> int:
-        best = None
-        if len(points) > small:
-            for v in self.rng.choice(points, 4):
-                at = np.bincount(np.bitwise_count(points ^ v), minlength=65)
-                within = np.cumsum(at)
-                for mu in range(64):
-                    alone = within[mu - self.reach] if mu >= self.reach else 0  # inside and not copied outside
-                    if 8 * min(alone, len(points) - within[mu]) >= len(points):
-                        copied = at[max(0, mu - self.reach + 1) : mu + 1].sum() if self.reach else 0
-                        if best is None or copied < best[0]:
-                            best = (copied, v, mu)
-        if best is None:
-            self.leaves += 1
-            return -self.leaves
-        _, v, mu = best
-        d = np.bitwise_count(points ^ v)
-        me = len(self.nodes)
-        self.nodes.append((0, 0, 0, 0))
-        inside = self._grow(points[d <= mu], small)
-        outside = self._grow(points[d > mu - self.reach], small)
-        self.nodes[me] = (int(v), mu, inside, outside)
-        return me
-
-    def route(self, points: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(leaf, positions of the points that belong there); a point inside, but near the boundary, also goes outside."""
-        todo = [(self.root, np.arange(len(points)))]
-        while todo:
-            node, at = todo.pop()
+    """A vantage-point tree over the Hamming distance within one block of bits, as deep as total points need.
+
+    A node's vantage point is a hash of the way to it, so that a tree of any size is a few numbers and is never sent or
+    fitted. At each node, the points at most ``radius`` bits from the vantage point go inside and the others outside;
+    those so near to the boundary that a partner may lie beyond go to both. A leaf is a node that is to hold ``leaf``
+    points or fewer if bits are even. Points of equal bits share all their leaves.
+    """
+
+    def __init__(self, at: int, width: int, reach: int, total: int, leaf: int, seed: int):
+        self.at, self.width, self.reach, self.seed = at, width, reach, seed
+        self.mask = np.uint64(((1 << width) - 1) << at)
+        share = np.cumsum([comb(width, k) / 2**width for k in range(width + 1)])
+        # the radius with the fewest copies for what a split tells
+        told = [-(s * log2(s) + (1 - s) * log2(1 - s)) if 0 < s < 1 else 0.0 for s in share]
+        copied = [share[m] - (share[m - reach] if m >= reach else 0.0) for m in range(width + 1)]
+        self.radius = min((m for m in range(width) if told[m] > 0.5), key=lambda m: copied[m] / told[m])
+        self.inside, self.outside = log2(share[self.radius]), log2(1 - share[self.radius])
+        self.small = min(0.0, log2(leaf / max(total, 1)))
+
+    def route(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(leaf, position of the point) for every leaf that a point belongs to."""
+        way, at, held = np.ones(len(points), np.uint64), np.arange(len(points)), np.zeros(len(points))
+        leaves, places = [], []
+        for _ in range(48):  # beyond, a way no longer fits its number
+            done = held <= self.small
+            leaves.append(way[done])
+            places.append(at[done])
+            way, at, held = way[~done], at[~done], held[~done]
             if not len(at):
-                continue
-            if node < 0:
-                yield -1 - node, at
-                continue
-            v, mu, inside, outside = self.nodes[node]
-            d = np.bitwise_count((points[at] ^ np.uint64(v)) & self.mask).astype(np.int64)
-            todo += [(inside, at[d <= mu]), (outside, at[d > mu - self.reach])]
+                break
+            d = np.bitwise_count((points[at] ^ mix64(way, self.seed)) & self.mask).astype(np.int64)
+            near, far = d <= self.radius, d > self.radius - self.reach
+            way = np.concatenate([way[near] << np.uint64(1), (way[far] << np.uint64(1)) | np.uint64(1)])
+            at, held = np.concatenate([at[near], at[far]]), np.concatenate([held[near] + self.inside, held[far] + self.outside])
+        return np.concatenate([*leaves, way]).view(np.int64), np.concatenate([*places, at])
 
 
-def forest(sample: np.ndarray, total: int, radius: int, parts: int, leaf: int = LEAF, seed: int = 0) -> list[Tree]:
-    """One tree for each block of bits; a sample point stands for total / len(sample) fingerprints."""
+def forest(total: int, radius: int, parts: int, leaf: int = LEAF, seed: int = 0) -> list[Tree]:
+    """One tree for each block of bits."""
     edges = [64 * i // parts for i in range(parts + 1)]
-    leaves = min(-(-total // leaf), max(1, len(sample) // 8))
-    return [Tree((1 << b) - (1 << a), radius // parts, sample, leaves, seed + a) for a, b in zip(edges, edges[1:])]
+    return [Tree(a, b - a, radius // parts, total, leaf, seed + a) for a, b in zip(edges, edges[1:])]
 
 
 def joined(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
@@ -179,30 +171,24 @@ def close_pairs(points: np.ndarray, radius: int, block: int = 1024) -> tuple[np.
     return np.minimum(left, right), np.maximum(left, right)
 
 
-def links(distinct: DataFrame, radius: int = 4, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 4, leaf: int = LEAF) -> DataFrame:
     """(a, b) of distinct fingerprints (column __fp) at most radius bits apart, enough to connect all that are; a group
-    of many is not given as all its pairs. Collects a bounded sample only. The blocks are so many that each tree's
-    reach is one bit."""
-    total, parts = distinct.count(), radius // 2 + 1
-    drawn = distinct.select("__fp")
-    if total > sample:
-        drawn = drawn.where(F.pmod(F.xxhash64("__fp"), F.lit(total)) < sample)
-    points = np.array(sorted(r[0] for r in drawn.collect()), np.int64).view(np.uint64)
-    trees = distinct.sparkSession.sparkContext.broadcast(forest(points, total, radius, parts, leaf))
+    of many is not given as all its pairs. The blocks are so many that each tree's reach is one bit."""
+    trees = forest(distinct.count(), radius, radius // 2 + 1, leaf)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             points = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for k, tree in enumerate(trees.value):
-                for shard, at in tree.route(points):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), (k << 40) + shard)), pa.array(points[at].view(np.int64))], ["shard", "fp"])
+            for k, tree in enumerate(trees):
+                leaves, at = tree.route(points)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(leaves), pa.array(points[at].view(np.int64))], ["tree", "shard", "fp"])
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         a, b = close_pairs(group["fp"].to_numpy(np.int64).view(np.uint64), radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    shards = distinct.select("__fp").mapInArrow(route, "shard long, fp long")
-    return shards.groupBy("shard").applyInPandas(search, "a long, b long").distinct()
+    shards = distinct.select("__fp").mapInArrow(route, "tree int, shard long, fp long")
+    return shards.groupBy("tree", "shard").applyInPandas(search, "a long, b long").distinct()
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -231,106 +217,193 @@ def tag(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
+def wide(text: bytes | None, words: int) -> tuple[int, int, list[int]]:
+    """(a key of the set of a text's shingles, their number, the LANES words of its wide fingerprint)."""
+    held = np.unique(shingle_hashes(text, words))
+    return int(mix64(held, LANES).sum(dtype=np.uint64)), len(held), [majority(mix64(held, k)) for k in range(LANES)]
+
+
 def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """(id_col, __tag, __fp, __w0, __w1, ...) of every row: a hash of its text, the LANES words of its wide fingerprint
-    and a 64-bit key of them."""
+    """(id_col, __tag, __fp, __n, __w0, __w1, ...) of every row: a hash of its text, a 64-bit key of its set of shingles,
+    their number, and the LANES words of the set's fingerprint."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes = [shingle_hashes(t, words) for t in payloads(b.column(1))]
-            lanes = [np.array([majority(mix64(h, k)) for h in hashes], np.uint64).view(np.int64) for k in range(LANES)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *map(pa.array, lanes)], [id_col, "__tag", *WORDS])
+            keys, sizes, lanes = zip(*(wide(t, words) for t in payloads(b.column(1)))) if b.num_rows else ((), (), ())
+            columns = [np.array(c, np.uint64).view(np.int64) for c in (keys, *(zip(*lanes) if lanes else [()] * LANES))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(columns[0]), pa.array(sizes, pa.int32()), *map(pa.array, columns[1:])], [id_col, "__tag", "__fp", "__n", *WORDS])
 
-    found = docs.select(id_col, text_col, tag(text_col).alias("__tag")).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{w} long" for w in ["__tag", *WORDS]))
-    return found.select(id_col, "__tag", F.xxhash64(*WORDS).alias("__fp"), *WORDS)
+    schema = f"`{id_col}` {kind}, __tag long, __fp long, __n int, " + ", ".join(f"{w} long" for w in WORDS)
+    return docs.select(id_col, text_col, tag(text_col).alias("__tag")).mapInArrow(run, schema)
 
 
-def connected(points: np.ndarray, part: np.ndarray, reach: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of points within the radius, fewer than there are points, that connect all that are so near and
-    whose parts differ in at most reach bits.
+class Near:
+    """Which of a shard's points may be alike: fingerprints within the radius, parts within the reach, sizes that allow it."""
 
-    A few points first take in all within the radius of them, the one next to the points' majority in the lead. Only
-    what is outside the largest set is then compared with all: inside it, all are connected. So a large group of copies
-    costs its size, not the square of it.
-    """
-    n = len(points)
-    parent, pairs = np.arange(n), []
+    def __init__(self, points: np.ndarray, part: np.ndarray, sizes: np.ndarray, reach: int, radius: int, similar: float):
+        self.points, self.part, self.sizes, self.reach, self.radius, self.similar = points, part, sizes, reach, radius, similar
 
-    def join(i: np.ndarray, j: np.ndarray) -> None:
-        fresh = parent[i] != parent[j]
-        i, j = i[fresh], j[fresh]
-        near = np.bitwise_count(points[i] ^ points[j]).sum(axis=1, dtype=np.int64) <= radius
-        pairs.extend(joined(parent, i[near], j[near]))
+    def distances(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.points[i] ^ self.points[j]).sum(axis=1, dtype=np.int64)
 
+    def fit(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.minimum(self.sizes[i], self.sizes[j]) >= self.similar * np.maximum(self.sizes[i], self.sizes[j])
+
+    def pairs(self, rows: np.ndarray, apart: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(i, j, distance) for i in rows and any j whose number in apart differs, in blocks."""
+        for a in range(0, len(rows), 256):
+            mine = rows[a : a + 256]
+            for c in range(0, len(self.points), 8192):
+                i, j = np.nonzero(np.bitwise_count(self.part[mine, None] ^ self.part[None, c : c + 8192]) <= self.reach)
+                i, j = mine[i], j + c
+                some = (apart[i] != apart[j]) & self.fit(i, j)
+                i, j = i[some], j[some]
+                d = self.distances(i, j)
+                yield i[d <= self.radius], j[d <= self.radius], d[d <= self.radius]
+
+
+def connected(near: Near, sure: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j), fewer than there are points, that connect all that may be alike, the nearest first.
+
+    A few points first take in all that are surely alike, the one next to the points' majority in the lead. Only what is
+    outside the largest set is then compared with all: inside it, all are connected. So a large group of copies costs
+    its size, not the square of it.
+    """
+    points, n = near.points, len(near.points)
+    parent, links_ = np.arange(n), []
     ones = np.zeros(64 * points.shape[1], np.int64)
     for a in range(0, n, 1 << 14):
         ones += np.unpackbits(points[a : a + (1 << 14)].view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
     centre = np.packbits(2 * ones > n).view(points.dtype)
     pivot, outside = int(np.bitwise_count(points ^ centre).sum(axis=1, dtype=np.int64).argmin()), np.arange(n)
     for turn in range(8):
-        join(np.full(n, pivot), np.arange(n))
+        j = np.nonzero(parent != parent[pivot])[0]
+        i = np.full(len(j), pivot)
+        some = (near.distances(i, j) <= min(sure, near.radius)) & near.fit(i, j)
+        links_ += joined(parent, i[some], j[some])
         outside = np.nonzero(parent != np.bincount(parent, minlength=n).argmax())[0]
         if not len(outside):
             break
         pivot = int(outside[len(outside) * turn // 8])
-    for a in range(0, len(outside), 256):
-        rows = outside[a : a + 256]
-        for c in range(0, n, 8192):
-            i, j = np.nonzero(np.bitwise_count(part[rows, None] ^ part[None, c : c + 8192]) <= reach)
-            join(rows[i], j + c)
-    left, right = np.array(pairs, np.int64).reshape(-1, 2).T
+    found = list(near.pairs(outside, parent))
+    if found:
+        i, j, d = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(d, kind="stable")
+        links_ += joined(parent, i[order], j[order])
+    left, right = np.array(links_, np.int64).reshape(-1, 2).T
     return left, right
 
 
-def wide_links(distinct: DataFrame, radius: int, leaf: int = 2 * LEAF, sample: int = SAMPLE) -> DataFrame:
-    """(a, b): keys of distinct wide fingerprints at most radius bits apart that meet in a block, enough to connect them.
+def wide_links(distinct: DataFrame, radius: int, similar: float, sure: int = SURE, leaf: int = 2 * LEAF) -> DataFrame:
+    """(a, b): keys of distinct wide fingerprints that may be alike and meet in a shard, a < b.
 
-    Each word has three blocks of 20 bits, each block a tree with a reach of one bit.
+    Without a column __label, enough of them to connect all such; with it, all whose labels differ. Each word has three
+    blocks of 20 bits, each block a tree with a reach of one bit.
     """
     total = distinct.count()
-    drawn = distinct.select(*WORDS)
-    if total > sample:
-        drawn = drawn.where(F.pmod("__fp", F.lit(total)) < sample)
-    drawn = drawn.orderBy(*WORDS).toArrow()
-    leaves = min(-(-total // leaf), max(1, drawn.num_rows // 8))
-    trees = []
-    for k, w in enumerate(WORDS):
-        points = drawn.column(w).to_numpy().view(np.uint64)
-        trees += [(k, at, Tree(((1 << 20) - 1) << at, 1, points, leaves, 64 * k + at)) for at in (0, 20, 40)]
-    sent = distinct.sparkSession.sparkContext.broadcast(trees)
-    names = ["shard", "__fp", *WORDS]
+    trees = [(k, at, Tree(at, 20, 1, total, leaf, 64 * k + at)) for k in range(LANES) for at in (0, 20, 40)]
+    labelled = "__label" in distinct.columns
+    rest = ["__n", *WORDS] + ["__label"] * labelled
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for number, (k, _, tree) in enumerate(sent.value):
-                found = list(tree.route(b.column(k + 1).to_numpy(zero_copy_only=False).view(np.uint64)))
-                if found:
-                    shard = np.concatenate([np.full(len(at), (number << 40) + leaf_) for leaf_, at in found])
-                    rows = b.take(pa.array(np.concatenate([at for _, at in found])))
-                    yield pa.RecordBatch.from_arrays([pa.array(shard), *rows.columns], names)
+            for number, (k, _, tree) in enumerate(trees):
+                leaves, at = tree.route(b.column(k + 2).to_numpy(zero_copy_only=False).view(np.uint64))
+                rows = b.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number, np.int32)), pa.array(leaves), *rows.columns], ["tree", "shard", "__fp", *rest])
 
     def search(group: pa.Table) -> pa.Table:
         group = group.sort_by("__fp")  # so that reruns start from the same points
-        k, at, _ = sent.value[group.column("shard")[0].as_py() >> 40]
+        k, at, _ = trees[group.column("tree")[0].as_py()]
         points = np.stack([group.column(w).to_numpy().view(np.uint64) for w in WORDS], axis=1)
         part = ((points[:, k] >> np.uint64(at)) & np.uint64((1 << 20) - 1)).astype(np.uint32)
-        i, j = connected(points, part, 1, radius)
+        near = Near(points, part, group.column("__n").to_numpy(), 1, radius, similar)
+        if labelled:
+            found = list(near.pairs(np.arange(len(points)), group.column("__label").to_numpy()))
+            i, j = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+        else:
+            i, j = connected(near, sure)
         key = group.column("__fp").to_numpy()
-        return pa.table({"a": key[i], "b": key[j]})
+        return pa.table({"a": np.minimum(key[i], key[j]), "b": np.maximum(key[i], key[j])})
+
+    kinds = "tree int, shard long, __fp long, __n int, " + ", ".join(f"{c} long" for c in rest[1:])
+    shards = distinct.select("__fp", *rest).mapInArrow(route, kinds)
+    return shards.groupBy("tree", "shard").applyInArrow(search, "a long, b long").distinct()
+
 
-    shards = distinct.select("__fp", *WORDS).mapInArrow(route, ", ".join(f"{c} long" for c in names))
-    return shards.groupBy("shard").applyInArrow(search, "a long, b long").distinct()
+def shingle_sets(docs: DataFrame, nodes: DataFrame, distinct: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(__fp, __set) of the keys in nodes (column node): the sorted distinct shingle hashes of one text of each, as bytes."""
+    need = distinct.join(nodes, F.col("__fp") == F.col("node"), "left_semi").select("__fp", F.col("__rep.id").alias("__id"), F.col("__rep.tag").alias("__t"))
+    marked = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"), tag(text_col).alias("__tag"))
+    texts = marked.join(need, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__tag") == F.col("__t"))).select("__fp", "__text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [np.unique(shingle_hashes(t, words)).astype("<u8").tobytes() for t in payloads(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.binary())], ["__fp", "__set"])
+
+    return keep(texts.dropDuplicates(["__fp"]).mapInArrow(run, "__fp long, __set binary"), "sets")
+
+
+def verified(edges: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """(a, b, alike): whether the shingle sets of each pair have that similarity. The two sets of a pair meet as two rows
+    of its number, so that no task holds more than two."""
+    numbered = keep(edges.withColumn("pair", F.monotonically_increasing_id()), "pairs")
+    sides = [numbered.select("pair", F.col(c).alias("__fp")).join(sets, "__fp").select("pair", "__set") for c in "ab"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, one = None, b""
+        for b in batches:
+            out = []
+            for pair, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if pair == last:
+                    x, y = np.frombuffer(one, "<u8"), np.frombuffer(raw, "<u8")
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    out.append((pair, both >= similar * (len(x) + len(y) - both)))
+                last, one = pair, raw
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.bool_())], ["pair", "alike"])
+
+    found = sides[0].unionAll(sides[1]).repartition("pair").sortWithinPartitions("pair").mapInArrow(run, "pair long, alike boolean")
+    return keep(found.join(numbered, "pair").select("a", "b", "alike"), "verified")
+
+
+def alike_links(docs: DataFrame, distinct: DataFrame, radius: int, similar: float, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(a, b) of keys whose shingle sets have that similarity, enough to connect all candidates that have it.
+
+    Candidates meet in a shard with fingerprints within the radius. First a spanning set of them is verified. Where one
+    is refused, another candidate may still link its points: in the groups it belongs to, all candidates between points
+    that the verified ones leave apart are verified too.
+    """
+    candidates = keep(wide_links(distinct, radius, similar), "links")
+    ends = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
+    sets = shingle_sets(docs, ends, distinct, id_col, text_col, words)
+    first = verified(candidates, sets, similar)
+    good, refused = first.where("alike").select("a", "b"), first.where("NOT alike")
+    if refused.isEmpty():
+        return good
+    groups = keep(closed(stars(candidates)), "groups")
+    touched = groups.join(refused.select(F.col("a").alias("node")).distinct(), "node").select("root").distinct()
+    open_ = groups.join(touched, "root", "left_semi").select("node")
+    labels = closed(stars(good)).select(F.col("node").alias("__node"), F.col("root").alias("__to"))
+    points = distinct.join(open_, F.col("__fp") == F.col("node"), "left_semi").join(labels, F.col("__fp") == F.col("__node"), "left")
+    points = keep(points.select("__fp", "__n", *WORDS, F.coalesce("__to", "__fp").alias("__label")), "open")
+    more = wide_links(points, radius, similar).join(refused.select("a", "b"), ["a", "b"], "left_anti")
+    second = verified(more, sets, similar)
+    return good.union(second.where("alike").select("a", "b"))
+
+
+def closed(linked: DataFrame) -> DataFrame:
+    """(node, root) with the roots themselves as nodes."""
+    return linked.union(linked.select(F.col("root").alias("node"), "root").distinct())
 
 
 def named(marked: DataFrame, distinct: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
     """marked with component_id, the smallest id (__low of distinct) that a row's __fp reaches over edges (a, b), and
     __root, the same __fp for all rows of a component."""
-    linked = keep(stars(edges), "stars")
+    linked = closed(keep(stars(edges), "stars"))
     lows = distinct.select("__fp", "__low")
-    member = linked.join(lows, linked.node == lows["__fp"]).select("node", "root", "__low")
-    roots = linked.select(F.col("root").alias("node"), "root").distinct().join(lows, F.col("node") == lows["__fp"]).select("node", "root", "__low")
-    member = keep(member.union(roots), "members")
+    member = keep(linked.join(lows, linked.node == lows["__fp"]).select("node", "root", "__low"), "members")
     low = member.groupBy("root").agg(F.min("__low").alias("__least"))
     found = member.join(low, "root").select(F.col("node").alias("__node"), F.col("root").alias("__to"), "__least")
     found = lows.join(found, lows["__fp"] == found["__node"], "left")
@@ -346,30 +419,36 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select(id_col, F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = RADIUS) -> DataFrame:
-    """(id_col, component_id) of every row, over links of wide fingerprints: texts with a shingle similarity of 0.8 or more.
+def near_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = RADIUS, similar: float = SIMILAR
+) -> DataFrame:
+    """(id_col, component_id) of every row: the smallest id reachable over links of texts whose sets of five-word shingles
+    have a Jaccard similarity of 0.8 or more.
 
-    64 bits tell little about a similarity of 0.8, as such texts differ in 10 +- 3 of them; in 384 bits they differ in
-    58 +- 7, those with a similarity of 0.5 in 103 +- 9. A link of exactly 0.8 is found with a chance of about 0.93, one
-    of 0.85 with 0.99. Null and empty texts form one group.
+    Every link is verified on the sets' 64-bit hashes; fingerprints only find candidates. In 384 bits, texts with a
+    similarity of 0.8 differ in 58 +- 7, and meet in a shard with a chance of 0.96. Null and empty texts form one group;
+    rows that repeat an id are rows of their own; an empty table gives no rows.
     """
-    return near_rows(docs, id_col, text_col, words, radius).select(id_col, "component_id")
+    return near_rows(docs, id_col, text_col, words, radius, similar).select(id_col, "component_id")
 
 
-def near_rows(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int) -> DataFrame:
+def near_rows(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int, similar: float) -> DataFrame:
     """(id_col, __tag, __fp, __root, component_id) of every row: what near_components and firsts are made of."""
     marked = keep(wide_fingerprints(docs, id_col, text_col, words), "fingerprints")
-    distinct = keep(marked.groupBy("__fp", *WORDS).agg(F.min(id_col).alias("__low")), "distinct")
-    return named(marked.select(id_col, "__tag", "__fp"), distinct, wide_links(distinct, radius), id_col)
+    rep = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__tag").alias("tag"))).alias("__rep")
+    distinct = keep(marked.groupBy("__fp", "__n", *WORDS).agg(F.min(id_col).alias("__low"), rep), "distinct")
+    return named(marked.select(id_col, "__tag", "__fp"), distinct, alike_links(docs, distinct, radius, similar, id_col, text_col, words), id_col)
 
 
-def firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = RADIUS) -> DataFrame:
+def firsts(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = RADIUS, similar: float = SIMILAR
+) -> DataFrame:
     """docs without the rows of a component (near_components) beyond the one with its smallest id; all its columns, texts whole.
 
     One row of each component stays: that of the smallest id, null after all others, and of the smallest text hash where
     rows of one id differ. Rows of different components that share an id, or have none, are documents of their own.
     """
-    found = near_rows(docs, id_col, text_col, words, radius)
+    found = near_rows(docs, id_col, text_col, words, radius, similar)
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__tag").alias("tag"))).alias("__first")
     kept = found.groupBy("__root").agg(first).select(F.col("__first.id").alias("__keep"), F.col("__first.tag").alias("__kept"))
     marked = docs.withColumn("__tag", tag(text_col))
