@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import html
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Characters folded before comparison, each to the one below it; then those dropped.
 FOLD_FROM = "“”«»„‘’‚–—−    "
@@ -15,7 +18,12 @@ DROPPED = "﻿​‌‍"
 SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0  -     　]"
 WORD = r"[\p{L}\p{N}_]"
 ELLIPSIS = rf"\.{SPACE}?\.{SPACE}?\.|…"
+TAIL_ELLIPSIS = rf"(?:{ELLIPSIS}){SPACE}*[»\"'”)\]]*{SPACE}*\z"
+PAGE_MARK = rf"\[\[Page{SPACE}+(?:{WORD}|[.-])+\]\]"
+# A link; a mark of text left out (asterisks apart, next to no word or asterisk); tags that a brief asks for.
 LINK = r"\[([^\]\n]{1,200})\]\((?:https?:|/|#)[^)\n]*\)"
+OMISSION = r"(?<![*\p{L}\p{N}_])\*(?:[ \t\u00A0\u2007\u202F\r\n]+\*){1,8}(?![*\p{L}\p{N}_])"
+TAGS = r"(?iu)\[(?:OPENED|SNIPPET|MEMORY|RETRIEVED|UNVERIFIED|ОТКРЫЛ|СНИППЕТ|ПАМЯТЬ|sic|so in original|так в источнике)\]"
 
 
 def _sub(c: Column, *pairs: tuple[str, str]) -> Column:
@@ -35,7 +43,7 @@ def strip_invisibles(c: Column) -> Column:
 def normalise(c: Column) -> Column:
     """Typography folded, page marks and invisibles out, line-end hyphens joined, white space collapsed. Null is empty."""
     folded = F.replace(F.translate(F.coalesce(c, F.lit("")), FOLD_FROM + DROPPED, FOLD_TO), F.lit("…"), F.lit("..."))
-    marked = _sub(folded, (rf"\[\[Page{SPACE}+(?:{WORD}|[.-])+\]\]", " "))
+    marked = _sub(folded, (PAGE_MARK, " "))
     return collapse(_sub(strip_invisibles(marked), (rf"({WORD})-[ \t]*\r?\n[ \t]*", "$1-")))
 
 
@@ -57,6 +65,42 @@ def strip_scrape(c: Column) -> Column:
     )
 
 
+def strip(c: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
+
+
+def _unwrapped(c: Column) -> Column:
+    """One layer of quotation marks off: both, an opening one alone, or a closing one alone that is no straight one."""
+    return F.regexp_replace(strip(c), r"(?s)\A(?:[\"«“„](.+)[\"»”]|[\"«“„](..+)|(..+)[»”])\z", "$1$2$3")
+
+
+def strip_markdown(c: Column) -> Column:
+    """A quotation without links, emphasis, tags, quote marks of lines, and up to four layers of quotation marks. Marks of
+    text left out stay as they are: they are cut out, the rest is cleaned around a placeholder, and they return."""
+    c = F.coalesce(c, F.lit(""))
+    marks, hole = F.regexp_extract_all(c, F.lit(OMISSION), F.lit(0)), "\x00"
+    clean = _sub(F.array_join(F.split(c, OMISSION, -1), hole), (LINK, "$1"), (r"\*\*|__|\*|`", ""), (rf"{SPACE}*" + TAGS[5:], ""), (rf"(?md)^{SPACE}*>{SPACE}?", ""))
+    for _ in range(4):
+        clean = _unwrapped(clean)
+    pieces = F.split(strip(clean), hole, -1)
+    return F.array_join(F.zip_with(pieces, marks, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+
+
+#: Everything that a quotation passes through before it is compared; ``verify`` calls it itself.
+prepare_quote = strip_markdown
+
+
+def clean_markdown(c: Column) -> Column:
+    """A Markdown source: footnote links as spaces, other links as their text, brackets without backslashes."""
+    footnote, link = r"\[\\?\[[^\]]*\\?\]\]\([^)]*\)", r"\[([^\]\n]*)\]\([^)\n]*\)"
+    return _sub(F.coalesce(c, F.lit("")), (footnote, " "), (link, "$1"), (r"\\([\[\]])", "$1"))
+
+
+def strip_page_marks(c: Column) -> Column:
+    return _sub(F.coalesce(c, F.lit("")), (PAGE_MARK, " "))
+
+
 def ellipsis_parts(c: Column, least: int = 25) -> Column:
     """The parts between ellipses, edges stripped, of at least so many characters."""
     parts = F.transform(F.split(F.coalesce(c, F.lit("")), ELLIPSIS, -1), lambda p: F.btrim(p, F.lit(" .,;:-—")))
@@ -78,9 +122,28 @@ def mostly_cyrillic(c: Column, threshold: float = 0.4) -> Column:
     return _share(c, "[^Ѐ-ӿ]") > threshold
 
 
-def html_text(c: Column) -> Column:
-    """Without script and style bodies; tags as spaces. Entities stay."""
-    return _sub(F.coalesce(c, F.lit("")), (r"(?is)<(script|style)\b.*?</\1\s*>", " "), (r"(?s)<[^>]*>", " "))
+@F.pandas_udf(StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
+def html_text(c: Column, entities: bool = True) -> Column:
+    """Without script and style bodies; tags as spaces; entities as their characters, in Python where a text has any."""
+    text = _sub(F.coalesce(c, F.lit("")), (r"(?is)<(script|style)[^>]*>.*?</\1>", " "), (r"<[^>]+>", " "))
+    return F.coalesce(_unescaped(F.when(F.contains(text, F.lit("&")), text)), text) if entities else text
+
+
+def host(url: Column) -> Column:
+    """In lower case, without user, port, brackets and final dots; also of urls without a scheme; empty without a host."""
+    whole = strip(F.coalesce(url, F.lit("")))
+    rest = F.regexp_replace(whole, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//", "")
+    name = F.regexp_replace(F.regexp_extract(rest, r"^([^/?#]*)", 1), r"^.*@", "")
+    bare = F.when(name.startswith("["), F.regexp_extract(name, r"^\[([^\]]*)", 1)).otherwise(F.regexp_extract(name, r"^([^:]*)", 1))
+    return F.rtrim(F.lower(bare), F.lit("."))
+
+
+def alpha_tokens(c: Column) -> Column:
+    return F.regexp_count(F.coalesce(c, F.lit("")), F.lit("[A-Za-z]+"))
 
 
 def sentences(c: Column, least: int = 40) -> Column:
