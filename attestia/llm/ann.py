@@ -7,7 +7,7 @@ the true inner product, within an error that falls with the root of the dimensio
 distance if its lower bound is not beyond the k-th best exact distance known. The centroid is the mean of a bounded
 sample; every vector is indexed.
 
-The scan is flat: its cost is queries times vectors, one machine word and a few popcounts for each 64 dimensions.
+The scan is flat: its cost is queries times vectors, a few popcounts for each machine word of a code.
 """
 
 from __future__ import annotations
@@ -20,16 +20,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestia.llm.common import keep
-from attestia.llm.tiles import first_k, matrix, search, sound
+from attestia.llm.tiles import TILE, first_k, matrix, search, sound
 
-#: Rows whose mean is the centroid, drawn by a hash of their id.
+#: Rows of each length whose mean is the centroid, about so many, drawn by a hash of their id.
 SAMPLE = 8192
+#: Bits of a code at least: shorter vectors are rotated into more dimensions, as the error falls with their root.
+BITS = 256
 PLANES = 6
 
 
 def rotation(d: int, seed: int) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))
-    return q * np.sign(np.diag(r))
+    """d orthonormal rows of a random rotation of the code's dimensions."""
+    bits = max(BITS, -(-d // 64) * 64)
+    q, r = np.linalg.qr(np.random.default_rng([seed, d]).standard_normal((bits, bits)))
+    return (q * np.sign(np.diag(r)))[:d]
 
 
 def packed(bits: np.ndarray) -> np.ndarray:
@@ -44,7 +48,7 @@ def encode(vectors: np.ndarray, centroid: np.ndarray, turn: np.ndarray) -> tuple
     away = vectors - centroid
     lengths = np.sqrt((away * away).sum(axis=1))
     unit = (away / np.where(lengths > 0, lengths, 1)[:, None]) @ turn
-    dots = np.abs(unit).sum(axis=1) / np.sqrt(vectors.shape[1])
+    dots = np.abs(unit).sum(axis=1) / np.sqrt(turn.shape[1])
     return packed(unit > 0), lengths, np.where(lengths > 0, dots, 1.0)
 
 
@@ -66,33 +70,44 @@ def estimates(codes: np.ndarray, dots: np.ndarray, unit: np.ndarray, bound: floa
 
 
 def nearest(
-    vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", bound: float = 2.5, seed: int = 0, tile: int = 4096
+    vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", bound: float = 2.5, seed: int = 0, tile: int = TILE
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k vectors of smallest Euclidean distance to each query, ties to smaller ids.
 
     is_query is a condition over __id. Rows of the query's own id are no candidates. Rows without an id and vectors that
-    are null, empty, zero, of another length than most, or hold null or non-finite components take no part. Rows that
-    repeat an id are candidates of their own. An empty table gives no rows. bound is the number of standard errors.
+    are null, empty, zero, or hold null or non-finite components take no part. Vectors of several lengths each meet their
+    own length. Rows that repeat an id are candidates of their own, and as queries share their ranks. An empty table gives
+    no rows. bound is the number of standard errors.
     """
-    rows, total, d = sound(vectors, id_col, vec_col, zero=False)
-    spark = vectors.sparkSession
-    if not total:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    drawn = rows if total <= SAMPLE else rows.where(F.pmod(F.xxhash64("__id"), F.lit(total)) < SAMPLE)
-    centroid = np.mean([r[0] for r in drawn.select("__vec").limit(2 * SAMPLE).collect()] or [[0.0] * d], axis=0)
-    turn = rotation(d, seed)
+    rows = sound(vectors, id_col, vec_col, zero=False)
+    counts = F.broadcast(rows.groupBy("__d").agg(F.count("*").alias("__n")))  # one row for each length
+    drawn = rows.join(counts, "__d").where(F.pmod(F.xxhash64("__id", F.lit(seed)), "__n") < SAMPLE)
+    means = drawn.select("__d", F.posexplode("__vec").alias("at", "x")).groupBy("__d", "at").agg(F.avg("x").alias("x"))
+    centres: dict[int, list[tuple[int, float]]] = {}
+    for r in means.collect():  # one number for each dimension of each length
+        centres.setdefault(r["__d"], []).append((r["at"], r["x"]))
+    centre = lambda d: np.array([x for _, x in sorted(centres[d])]) if d in centres else np.zeros(d)
+    turns: dict[int, np.ndarray] = {}
+
+    def turn_of(d: int) -> np.ndarray:
+        if d not in turns:
+            turns[d] = rotation(d, seed)
+        return turns[d]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            codes, lengths, dots = encode(matrix(b.column(1), d), centroid, turn)
-            raw = pa.array([c.tobytes() for c in codes], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), raw, pa.array(lengths), pa.array(dots)], ["__id", "__vec", "__code", "__length", "__dot"])
+        for batch in batches:
+            sizes = batch.column(2).to_numpy(zero_copy_only=False)
+            for d in np.unique(sizes).tolist():
+                b = batch if (sizes == d).all() else batch.take(pa.array(np.nonzero(sizes == d)[0]))
+                codes, lengths, dots = encode(matrix(b.column(1), d), centre(d), turn_of(d))
+                raw = pa.array([c.tobytes() for c in codes], pa.binary())
+                yield pa.RecordBatch.from_arrays([*b.columns, raw, pa.array(lengths), pa.array(dots)], ["__id", "__vec", "__d", "__code", "__length", "__dot"])
 
-    index = keep(rows.mapInArrow(code, "__id long, __vec array<double>, __code binary, __length double, __dot double"), "codes")
+    index = keep(rows.mapInArrow(code, "__id long, __vec array<double>, __d int, __code binary, __length double, __dot double"), "codes")
 
     def run(here: pa.Table, asked: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        if not here.num_rows:
-            return
+        d = here.column("__d")[0].as_py()
+        centroid, turn = centre(d), turn_of(d)
         ids, x = here.column("__id").to_numpy(), matrix(here.column("__vec"), d)
         codes = np.frombuffer(b"".join(here.column("__code").to_pylist()), "<u8").reshape(len(ids), -1)
         lengths, dots = here.column("__length").to_numpy(), here.column("__dot").to_numpy()
@@ -111,4 +126,4 @@ def nearest(
             exact = np.sqrt(((x[chosen] - q) ** 2).sum(axis=1))
             yield q_id, *first_k(ids[chosen], exact, k, False)
 
-    return search(index, index.where(is_query), total, run, k, "double", False, tile)
+    return search(index, index.where(is_query), run, k, "double", False, tile)
