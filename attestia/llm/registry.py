@@ -78,7 +78,7 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') A
 @query
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return token_count.recount(docs, token_count.revision(), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return token_count.recount(docs, token_count.revision, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 @query

@@ -3,8 +3,8 @@
 A text is cut before a space or line feed that stands between two characters that are no white space. The byte-level
 pattern never puts such a place inside a pre-token, so a document's count is the sum over its segments; and whether a
 place is cut depends on its two neighbours alone, so that an edit can only change the segments it touches and one
-character around. An edit finds the touched leaves by their offsets in the tree, re-encodes the text between the nearest
-bounds that are surely unchanged, and updates the sums above.
+character around. An edit finds the touched leaves by the sums in the tree, re-encodes the text between the nearest
+bounds that are surely unchanged, and updates the sums above. Trees are kept as tables of leaves between revisions.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestia.llm.common import sliced
+from attestia.llm.common import keep, sliced
 
 #: Where a text is cut: before a space or line feed between two characters that are no white space.
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-#: Leaves under one node.
-FAN = 64
+#: Members of one node, and the depth at which a tree is built anew.
+FAN, DEEP = 32, 24
 
 
 class Counter:
@@ -42,60 +42,113 @@ class Counter:
         return each[coded.indices.to_numpy()] if len(segments) else each
 
 
+class Node:
+    """A node of a segment tree: leaves (texts with their token counts) or nodes below, and the sums of both."""
+
+    __slots__ = ("below", "counts", "chars", "tokens", "leaf", "depth")
+
+    def __init__(self, below: list, counts: list[int] | None = None):
+        self.below, self.counts, self.leaf = below, counts, counts is not None
+        if self.leaf:
+            self.chars, self.tokens, self.depth = sum(map(len, below)), sum(counts), 1
+        else:
+            self.chars, self.tokens, self.depth = sum(n.chars for n in below), sum(n.tokens for n in below), 1 + max(n.depth for n in below)
+
+
 class Tree:
-    """Segments of one text with the sums of their characters and tokens: nodes of FAN leaves, and a total."""
+    """Segments of one text under nodes of at most FAN members, with sums of characters and tokens at each node.
+
+    An edit goes down from the root by the sums, cuts out the segments it touches, and puts the rest together again over
+    the new ones: nodes beside its way stay as they are. So it takes FAN times the tree's depth steps, beside the text that
+    is encoded again. Edits make a tree deeper; beyond DEEP it is built anew from its leaves, without encoding.
+    """
 
     def __init__(self, segments: list[str], tokens: np.ndarray):
-        self.groups = [segments[a : a + FAN] for a in range(0, len(segments), FAN)]
-        self.tokens = [tokens[a : a + FAN].tolist() for a in range(0, len(segments), FAN)]
-        self.chars = [sum(map(len, g)) for g in self.groups]
-        self.sums = [sum(t) for t in self.tokens]
-        self.total = sum(self.sums)
         self.encoded = 0
+        self.root = self._over(self._leaves(segments, [int(t) for t in tokens]))
+
+    @staticmethod
+    def _leaves(segments: list[str], counts: list[int]) -> list[Node]:
+        return [Node(segments[a : a + FAN], counts[a : a + FAN]) for a in range(0, len(segments), FAN)]
+
+    @staticmethod
+    def _over(nodes: list[Node]) -> Node:
+        while len(nodes) > 1:
+            nodes = [Node(nodes[a : a + FAN]) for a in range(0, len(nodes), FAN)]
+        return nodes[0] if nodes else Node([], [])
+
+    @property
+    def total(self) -> int:
+        return self.root.tokens
+
+    @property
+    def chars(self) -> int:
+        return self.root.chars
+
+    def segments(self, node: Node | None = None) -> Iterator[tuple[str, int]]:
+        """(segment, tokens) of all leaves in order."""
+        node = node or self.root
+        if node.leaf:
+            yield from zip(node.below, node.counts)
+        else:
+            for n in node.below:
+                yield from self.segments(n)
 
     def text(self) -> str:
-        return "".join("".join(g) for g in self.groups)
-
-    def _find(self, at: int) -> tuple[int, int, int]:
-        """(group, leaf, start) of the leaf that holds character at, or the last leaf."""
-        start, g = 0, 0
-        while g < len(self.groups) - 1 and start + self.chars[g] <= at:
-            start += self.chars[g]
-            g += 1
-        leaf = 0
-        while leaf < len(self.groups[g]) - 1 and start + len(self.groups[g][leaf]) <= at:
-            start += len(self.groups[g][leaf])
-            leaf += 1
-        return g, leaf, start
+        return "".join(s for s, _ in self.segments())
+
+    def _span(self, node: Node, a: int, b: int, start: int) -> tuple[int, int, list[str]]:
+        """(start, end, segments) of all segments that hold a character of a to b, or touch it."""
+        first, last, out = None, start, []
+        at = start
+        for n in node.below:
+            size = len(n) if node.leaf else n.chars
+            if at <= b and at + size >= a:
+                if node.leaf:
+                    found = (at, at + size, [n])
+                else:
+                    found = self._span(n, a, b, at)
+                first = found[0] if first is None else first
+                last = found[1]
+                out += found[2]
+            elif at > b:
+                break
+            at += size
+        return (start if first is None else first), last, out
+
+    def _cut(self, node: Node, at: int) -> tuple[list[Node], list[Node]]:
+        """The nodes before and from character at on, which is a segment's bound."""
+        if node.leaf:
+            k, seen = 0, 0
+            while k < len(node.below) and seen < at:
+                seen += len(node.below[k])
+                k += 1
+            return [Node(x, y) for x, y in [(node.below[:k], node.counts[:k])] if x], [Node(x, y) for x, y in [(node.below[k:], node.counts[k:])] if x]
+        left, right, seen = [], [], 0
+        for n in node.below:
+            if seen + n.chars <= at:
+                left.append(n)
+            elif seen >= at:
+                right.append(n)
+            else:
+                l, r = self._cut(n, at - seen)
+                left, right = left + l, right + r
+            seen += n.chars
+        return left, right
 
     def replace(self, a: int, b: int, new: str, counter: Counter) -> int:
         """Put new in place of characters a to b; returns the new total."""
-        if not self.groups:
-            self.__init__(segments := CUT.split(new) if new else [], counter.of(segments))
-            self.encoded += len(new)
-            return self.total
         # a bound is decided by the characters on its two sides and the one after: those within two characters may move
-        g1, l1, start = self._find(max(0, a - 2))
-        g2, l2, last = self._find(b + 1)
-        end = last + len(self.groups[g2][l2])
-        if g1 == g2:
-            old = "".join(self.groups[g1][l1 : l2 + 1])
-        else:
-            old = "".join(self.groups[g1][l1:]) + "".join("".join(g) for g in self.groups[g1 + 1 : g2]) + "".join(self.groups[g2][: l2 + 1])
+        start, end, touched = self._span(self.root, max(0, a - 2), b + 1, 0)
+        old = "".join(touched)
         changed = old[: a - start] + new + old[b - start :]
-        assert len(old) == end - start
         segments = CUT.split(changed) if changed else []
         self.encoded += len(changed)
-        tokens = counter.of(segments).tolist()
-        leaves = self.groups[g1][:l1] + segments + self.groups[g2][l2 + 1 :]
-        counts = self.tokens[g1][:l1] + tokens + self.tokens[g2][l2 + 1 :]
-        cut = range(0, len(leaves), FAN) if len(leaves) > 2 * FAN else range(1 if leaves else 0)
-        step = FAN if len(leaves) > 2 * FAN else max(1, len(leaves))
-        groups, sums = [leaves[x : x + step] for x in cut], [counts[x : x + step] for x in cut]
-        self.total += sum(map(sum, sums)) - sum(self.sums[g1 : g2 + 1])
-        self.groups[g1 : g2 + 1], self.tokens[g1 : g2 + 1] = groups, sums
-        self.chars[g1 : g2 + 1] = [sum(map(len, g)) for g in groups]
-        self.sums[g1 : g2 + 1] = [sum(t) for t in sums]
+        fresh = self._leaves(segments, counter.of(segments).tolist())
+        self.root = self._over(self._cut(self.root, start)[0] + fresh + self._cut(self.root, end)[1])
+        if self.root.depth > DEEP:
+            pairs = list(self.segments())
+            self.root = self._over(self._leaves([s for s, _ in pairs], [t for _, t in pairs]))
         return self.total
 
 
@@ -115,36 +168,67 @@ def clip(start: int | None, removed: int | None, length: int) -> tuple[int, int]
     return a, min(a + max(removed or 0, 0), length)
 
 
-def recount(docs: DataFrame, edits: Column, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, tokens_before, tokens_after, chars_before, chars_after, chars_encoded of every row.
-
-    edits: an array of (start, removed, inserted) in characters, applied in order, each to the text the former left; a
-    range beyond the text is clipped, null fields are 0 or empty, and a null array is none. chars_encoded is what the
-    edits made to be encoded again. Null and empty texts have no tokens; rows that repeat an id are counted alone; an
-    empty table gives no rows.
-    """
+def build(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, __text, __chars, __tokens) of every row: its text and the leaves of its tree, the characters and tokens of
+    each segment. Write it: later revisions start from it and encode only what they touch."""
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["tokens_before", "tokens_after", "chars_before", "chars_after", "chars_encoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = load(ranks, pattern)
         for batch in batches:
             for b in sliced(batch, text_col):
                 cut = [CUT.split(t) if t else [] for t in b.column(1).to_pylist()]
-                counts = counter.of([s for segments in cut for s in segments])
-                ends = np.cumsum([len(segments) for segments in cut])
+                flat = [s for segments in cut for s in segments]
+                bounds = np.concatenate([[0], np.cumsum([len(segments) for segments in cut])]).astype(np.int32)
+                sizes = np.fromiter(map(len, flat), np.int32, len(flat))
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(x, pa.int32())) for x in (sizes, counter.of(flat))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], [id_col, "__text", "__chars", "__tokens"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, __text string, __chars array<int>, __tokens array<int>")
+
+
+def edited(trees: DataFrame, edits: Column, ranks: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
+    """trees after edits, with tokens_before, tokens_after, chars_before, chars_after and chars_encoded.
+
+    edits: an array of (start, removed, inserted) in characters over the columns of trees, applied in order, each to the
+    text the former left; a range beyond the text is clipped, null fields are 0 or empty, and a null array is none.
+    """
+    kind = trees.schema[id_col].dataType.simpleString()
+    numbers = ["tokens_before", "tokens_after", "chars_before", "chars_after", "chars_encoded"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = load(ranks, pattern)
+        for batch in batches:
+            for b in sliced(batch, "__text"):
                 rows = []
-                for segments, end, changes in zip(cut, ends.tolist(), b.column(2).to_pylist()):
-                    tree = Tree(segments, counts[end - len(segments) : end])
-                    before, chars = tree.total, sum(tree.chars)
+                for text, sizes, tokens, changes in zip(*(b.column(k).to_pylist() for k in range(1, 5))):
+                    ends = np.cumsum(sizes or [0]).tolist()
+                    segments = [text[e - n : e] for e, n in zip(ends, sizes)] if sizes else []
+                    tree = Tree(segments, tokens or [])
+                    before, chars = tree.total, tree.chars
                     for e in changes or []:
                         if e is not None:
-                            tree.replace(*clip(e["start"], e["removed"], sum(tree.chars)), e["inserted"] or "", counter)
-                    rows.append((before, tree.total, chars, sum(tree.chars), tree.encoded))
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows))], [id_col, *names])
+                            tree.replace(*clip(e["start"], e["removed"], tree.chars), e["inserted"] or "", counter)
+                    now = list(tree.segments())
+                    rows.append(("".join(s for s, _ in now), [len(s) for s, _ in now], [t for _, t in now], before, tree.total, chars, tree.chars, tree.encoded))
+                types = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.int64()] * 5)
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], [id_col, "__text", "__chars", "__tokens", *numbers])
 
     typed = edits.cast("array<struct<start:long,removed:long,inserted:string>>").alias("__edits")
-    return docs.select(id_col, text_col, typed).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names))
+    schema = f"`{id_col}` {kind}, __text string, __chars array<int>, __tokens array<int>, " + ", ".join(f"{n} long" for n in numbers)
+    return trees.select(id_col, "__text", "__chars", "__tokens", typed).mapInArrow(run, schema)
+
+
+def recount(docs: DataFrame, edits, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, tokens_before, tokens_after, chars_before, chars_after, chars_encoded of every row.
+
+    edits: a function of (id column, text column) to the edits of ``edited``. The trees are built and written once, then
+    edited. chars_encoded is what the edits made to be encoded again. Null and empty texts have no tokens; texts of any
+    length are taken whole, one row in a task at a time; rows that repeat an id are counted alone; an empty table gives
+    no rows; other columns do not matter.
+    """
+    trees = keep(build(docs, ranks, pattern, id_col, text_col), "trees")
+    return edited(trees, edits(id_col, "__text"), ranks, pattern, id_col).drop("__text", "__chars", "__tokens")
 
 
 def revision(id_col: str = "doc_id", text_col: str = "text") -> Column:
