@@ -25,8 +25,9 @@ from attestia.llm.common import crc_mod, sliced
 BUCKETS, WIDTH = 1 << 15, 16
 #: Sizes of the subwords in bytes.
 RUNS = (2, 3, 4)
-#: Labelled texts of each language that training draws, by a hash of the id, and their longest total in bytes.
-SAMPLE = 400
+#: Labelled texts of each language that training draws, by a hash of the id, and their greatest length in bytes: longer
+#: ones are not learned from. Prediction takes every text whole.
+SAMPLE, LONGEST = 400, 1 << 16
 #: Training cuts texts to parts of so many bytes, so that short texts are known as well.
 PART = 600
 
@@ -131,12 +132,12 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 6, rate: float =
     found = softmax(scores * heat)
     hit = found.argmax(axis=1) == right
     threshold = float(np.quantile(found.max(axis=1)[hit], lose)) if hit.any() else 0.0
-    return Model(languages, (weights * heat).astype(np.float32), bias * heat, min(threshold, 0.5))
+    return Model(languages, (weights * heat).astype(np.float32), bias * heat, threshold)
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Column, most: int = SAMPLE) -> tuple[list[bytes], list[str]]:
     """About most texts of each language among the rows that may be learned from, drawn by a hash of id and text."""
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= LONGEST) & F.col(text_col).rlike(r"\p{L}"))
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     rate = F.lit(0.0)
     for language, n in counts.items():
@@ -161,6 +162,8 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
     lang_pred is the most probable learned language and score its probability; accepted is false below the threshold.
     Null texts, texts without a letter, and all texts where nothing was learned are ``und`` with score 0, not accepted.
+    Texts of any length are taken whole. Of languages that are equally probable, the first by name is predicted. Rows
+    that repeat an id are predicted alone; an empty table gives no rows; other columns do not matter.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
