@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestia.store import keep  # noqa: F401 - the operators take it from here
+
 #: Bytes of text that a Python task turns into numpy arrays at once.
 SLICE_BYTES = 4 << 20
 
@@ -20,28 +20,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="attestia-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def keep(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it again.
-
-    A lost executor loses none of it, and what follows does not compute df twice.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/attestia-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def as_long(name: str) -> Column:
     return F.col(name).cast("long")
 

@@ -38,6 +38,52 @@ def none(docs):
     return docs.where("false")
 
 
+def test_passages_of_all_shapes_against_brute_force(spark):
+    rng = random.Random(11)
+    fresh = iter(range(10**6))
+    unique = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    rows: list[list[str]] = []
+    for k in range(60):
+        shared = unique(52 + k)
+        rows.append(unique(k) + shared + unique(30))
+        rows.append(unique(70 - k) + shared + unique(k % 7))
+    notice = unique(55)
+    rows += [unique(20 + k % 30) + notice + unique(25) for k in range(150)]
+    damaged = []
+    for k in range(30):
+        base = unique(120)
+        changed = list(base)
+        for at in rng.sample(range(0, 120, 30), 2):
+            changed[at] = next(iter(unique(1)))
+        damaged.append(len(rows) + 1)
+        rows += [unique(10) + base, changed + unique(10)]
+    clean = len(rows)
+    rows += [unique(150) for _ in range(60)]
+    runs: dict[tuple, int] = {}
+    repeated = set()
+    for k, words in enumerate(rows):
+        for at in range(len(words) - 49):
+            if runs.setdefault(tuple(words[at : at + 50]), k) != k:
+                repeated.add(k)
+    assert len(repeated) > 200
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string").repartition(4)
+    found = substring_dedup.digest(docs).collect()
+    named = {r.doc_id for r in found}
+    assert repeated <= named and set(damaged) <= named and not named & set(range(clean, len(rows)))
+    for r in found:
+        a, b = rows[r.doc_id][r.start : r.start + r.words], rows[r.other_id][r.other_start : r.other_start + r.other_words]
+        one, two = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (a, b))
+        assert r.other_id < r.doc_id and len(a) == r.words >= 50 and abs(len(one & two) / len(one | two) - r.similarity) < 1e-9 and r.similarity >= 0.8
+
+
+def test_texts_that_many_ask_are_read_in_parts(spark, monkeypatch):
+    shared = prose(1, 60)
+    docs = spark.createDataFrame([(k, f"{prose(100 + k, 20)} {shared} {prose(200 + k, 20)}") for k in range(40)], "doc_id long, text string")
+    whole = sorted(map(tuple, substring_dedup.digest(docs).collect()))
+    monkeypatch.setattr(substring_dedup, "ASKS", 3)
+    assert sorted(map(tuple, substring_dedup.digest(docs).collect())) == whole and {r[0] for r in whole} == set(range(1, 40))
+
+
 def test_substring_dedup(docs, none):
     found = substring_dedup.digest(docs).collect()
     pair = next(r for r in found if (r.doc_id, r.other_id) == (2, 1))
@@ -72,37 +118,90 @@ def test_windows_cover_every_subsequence():
 def vectors(spark, n=300, d=16):
     rng = np.random.default_rng(3)
     rows = [(k, rng.standard_normal(d).tolist(), "x") for k in range(n)]
-    rows += [(n + 50, rows[0][1], "x"), (n + 51, None, "x"), (n + 52, [], "x"), (n + 53, [0.0] * d, "x"), (n + 54, [float("nan")] * d, "x"), (n + 55, [None] * d, "x"), (None, rows[1][1], "x"), (n + 56, [1.0], "x")]
+    rows += [(n + 50, rows[0][1], "x"), (n + 51, None, "x"), (n + 52, [], "x"), (n + 53, [0.0] * d, "x"), (n + 54, [float("nan")] * d, "x"), (n + 55, [None] * d, "x"), (None, rows[1][1], "x")]
+    rows += [(400, [1.0], "x"), (401, [0.5], "x"), (450, [2.0, 1.0, 0.5], "x")]  # few of other lengths
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
 
 
+def nearest_by_hand(rows, q, v, k):
+    return sorted((float(np.sqrt(((v - w) ** 2).sum())), j) for j, w in rows if j != q and len(w) == len(v))[:k]
+
+
 def test_neighbours(spark):
     frame = vectors(spark)
-    rows = [(r.vec_id, np.array(r.embedding)) for r in frame.collect() if r.vec_id is not None and (r.vec_id < 300 or r.vec_id == 350)]
+    rows = [(r.vec_id, np.array(r.embedding)) for r in frame.collect() if r.vec_id is not None and (r.vec_id < 300 or r.vec_id in (350, 400, 401, 450))]
     hit = total = 0
     found = ann.nearest(frame, F.col("__id") % 50 == 0, 10, tile=100).collect()
     for q, v in rows:
         if q % 50 == 0:
-            want = sorted((float(np.sqrt(((v - w) ** 2).sum())), k) for k, w in rows if k != q)[:10]
+            want = nearest_by_hand(rows, q, v, 10)
             got = sorted((r.rank, r.vec_id, r.score) for r in found if r.query_id == q)
             hit += len({k for _, k in want} & {k for _, k, _ in got})
-            total += 10
-            assert [x[0] for x in got] == list(range(1, 11)) and got == sorted(got, key=lambda x: (x[2], x[1]))
-    assert hit / total >= 0.95
+            total += len(want)
+            assert [x[0] for x in got] == list(range(1, len(want) + 1)) and got == sorted(got, key=lambda x: (x[2], x[1]))
+    assert hit / total >= 0.95 and [(r.query_id, r.vec_id) for r in found if r.query_id >= 400] == [(400, 401)]
     assert ann.nearest(frame.where("false"), F.lit(True)).count() == 0
 
 
+def test_codes_tell_most_vectors_apart():
+    rng = np.random.default_rng(0)
+    v = rng.standard_normal((2000, 64))
+    codes, lengths, dots = ann.encode(v, np.zeros(64), ann.rotation(64, 0))
+    seen = 0
+    for q in range(20):
+        unit = v[q] / np.sqrt((v[q] ** 2).sum())
+        found, error = ann.estimates(codes, dots, unit @ ann.rotation(64, 0), 2.5)
+        true = v @ unit / lengths
+        assert (np.abs(found - true) <= error).mean() > 0.97
+        limit = np.sort(true)[-11]
+        seen += int((found + error >= limit).sum())
+    assert seen < 0.3 * 20 * 2000
+
+
 def test_top_inner(spark):
     frame = vectors(spark)
-    rows = [(r.vec_id, np.floor(256 * np.array(r.embedding)).astype(int)) for r in frame.collect() if r.vec_id is not None and (r.vec_id < 300 or r.vec_id in (350, 353))]
+    rows = [(r.vec_id, np.floor(256 * np.array(r.embedding)).astype(int)) for r in frame.collect() if r.vec_id is not None and (r.vec_id < 300 or r.vec_id in (350, 353, 400, 401, 450))]
     found = topk.top_inner(frame, F.col("__id") % 50 == 0, 5, tile=100).collect()
     for q, v in rows:
         if q % 50 == 0:
-            want = sorted((-int(v @ w), k) for k, w in rows if k != q)[:5]
+            want = sorted((-int(v @ w), k) for k, w in rows if k != q and len(w) == len(v))[:5]
             assert [(-r.score, r.vec_id) for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)] == want
     assert topk.top_inner(frame.where("false"), F.lit(True)).count() == 0
 
 
+def test_top_inner_beyond_64_bits(spark):
+    rows = [(0, [1e18, -1e18]), (1, [1e18, 0.0]), (2, [0.0, 1e18]), (3, [-1.0, 0.0]), (4, [3.0, 2.0]), (5, [3.0, 2.0])]
+    found = topk.top_inner(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("__id") == 0, 5).collect()
+    most, least = 2**63 - 1, -(2**63)
+    assert [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r.rank)] == [(1, most), (4, most), (5, most), (2, least), (3, least)]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(1, 60), st.integers(1, 6), st.integers(1, 7), st.integers(0, 10**6), st.integers(0, 12), st.booleans())
+def test_reading_keeps_the_best(n, d, k, seed, resolve, limited):
+    rng = np.random.default_rng(seed)
+    v, query = rng.integers(-4, 5, (n, d)).astype(float), rng.integers(-3, 4, d).astype(float)
+    out = rng.random(n) < 0.1
+    exact = np.where(out, -np.inf, v @ query)
+    others = int((~out).sum())
+    limit = np.sort(exact)[-min(k, others)] if others else -np.inf
+    may, entries = topk.Lists(v).read(query, out, k, resolve, limit if limited else -np.inf)
+    assert not out[may].any() and entries <= n * d and len(may) >= min(k, others)
+    assert set(np.nonzero((exact >= limit) & ~out)[0].tolist()) <= set(may.tolist())
+
+
+def test_reading_stops_early_on_a_skewed_table():
+    rng = np.random.default_rng(1)
+    v = np.floor(256 * rng.standard_normal((4096, 64)) * 0.7 ** np.arange(64))
+    lists, shares = topk.Lists(v), []
+    for q in range(40):
+        exact = np.where(np.arange(4096) == q, -np.inf, v @ v[q])
+        may, entries = lists.read(v[q], np.arange(4096) == q, 5, 80, np.sort(exact)[-5])
+        assert set(np.argsort(exact)[-5:].tolist()) <= set(may.tolist())
+        shares.append(entries / v.size)
+    assert np.mean(shares) < 0.6
+
+
 def test_mixing(docs, none):
     found = mixing.digest(docs).collect()
     assert len(found) == docs.count() and mixing.digest(none).count() == 0
@@ -240,11 +339,23 @@ def test_urls(spark):
     assert url_filter.judge(frame.where("false"), rules).count() == 0
 
 
-def test_cascade_is_exact(spark):
+@pytest.mark.parametrize("most", [1 << 20, 500])
+def test_cascade_is_exact(spark, most):
     universe = spark.range(20_000).select(F.xxhash64("id").alias("key"))
     keys = np.array([r[0] for r in universe.collect()], np.int64).view(np.uint64)
-    cascade = url_filter.build(keys[::7], universe, per_key=4)
-    assert len(cascade.levels) > 2 and (cascade.has(keys) == np.isin(keys, keys[::7])).all()
+    cascade = url_filter.build(keys[::7], universe, 4 if most > 500 else 10, most)
+    parts = [p.value for p in cascade.parts]
+    assert len(parts) == (1 if most > 500 else 16) and max(len(p.levels) for p in parts) > 2 and (cascade.has(keys) == np.isin(keys, keys[::7])).all()
+
+
+def test_urls_under_a_long_list(spark):
+    rules = [("block" if k % 3 else "allow", f"h{k % 40}.example", f"/{k}") for k in range(900)]
+    rows = [(k, f"http://a.h{k % 40}.example/{k}/x") for k in range(1200)]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    found = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(frame, rules, most=128).collect()}
+    for k, url in rows:
+        fits = [(len(h + p), h + p, v) for v, h, p in rules if h == f"h{k % 40}.example" and f"/{k}/x".startswith(p)]
+        assert found[k] == (max(fits)[1:] if fits else (None, "allow"))
 
 
 COUNTER = token_count.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -262,15 +373,48 @@ def test_edits_count_as_from_scratch(text, edits):
         assert tree.replace(a, b, new, COUNTER) == len(COUNTER.encoding.encode_ordinary(text)) and tree.text() == text
 
 
+def test_many_edits_keep_the_tree_right():
+    rng = random.Random(2)
+    text = prose(3, 4000)
+    segments = token_count.CUT.split(text)
+    tree = token_count.Tree(segments, COUNTER.of(segments))
+    for _ in range(300):
+        a = rng.randrange(len(text))
+        b, new = min(len(text), a + rng.randrange(60)), " ".join(rng.choices(["one", "two\n", " x", "e9"], k=rng.randrange(5)))
+        text = text[:a] + new + text[b:]
+        tree.replace(a, b, new, COUNTER)
+        assert tree.root.depth <= token_count.DEEP
+    assert tree.text() == text and tree.chars == len(text) and tree.total == len(COUNTER.encoding.encode_ordinary(text)) and tree.encoded < 300 * 300
+
+
 def test_recount(docs, none):
-    args = (token_count.revision(), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    found = token_count.recount(docs, *args).collect()
+    args = (token_count.revision, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    found = sorted(token_count.recount(docs, *args).collect(), key=repr)
     assert len(found) == docs.count() and {r.tokens_before for r in found if r.doc_id in (5, 6)} == {0}
     long = next(r for r in found if r.doc_id == 9)
     assert long.chars_encoded < long.chars_before / 20
+    want = []
+    for r in docs.select("doc_id", "text", token_count.revision().alias("edits")).collect():
+        text = r.text or ""
+        before = text
+        for e in r.edits:
+            a, b = token_count.clip(e.start, e.removed, len(text))
+            text = text[:a] + e.inserted + text[b:]
+        count = lambda s: len(COUNTER.encoding.encode_ordinary(s))
+        want.append((repr(r.doc_id), count(before), count(text), len(before), len(text)))
+    assert sorted((repr(r.doc_id), *r[1:5]) for r in found) == sorted(want)
     assert token_count.recount(none, *args).count() == 0
 
 
+def test_trees_serve_later_revisions(docs):
+    ranks = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    trees = token_count.build(docs, *ranks)
+    once = token_count.edited(trees, token_count.revision("doc_id", "__text"), *ranks)
+    twice = token_count.edited(once, F.array(F.struct(F.lit(3).alias("start"), F.lit(2).alias("removed"), F.lit("and so").alias("inserted"))), *ranks).collect()
+    for r in twice:
+        assert r.tokens_after == len(COUNTER.encoding.encode_ordinary(r["__text"])) == sum(r["__tokens"]) and sum(r["__chars"]) == len(r["__text"])
+
+
 def test_ppm_sums_to_one_and_scores(docs, none):
     texts = [prose(k, 40) for k in range(5)]
     _, _, stream, bounds = ppm.streams(pa.array(texts), 3)
@@ -311,7 +455,7 @@ def test_ppm_keeps_its_order_when_the_cache_is_small(spark, docs):
     assert all(abs(r.score + (len(" ".join((t or "").lower().split())) + 1) * np.log10(256)) < 1e-6 * abs(r.score) for r in found for i, t in rows if i == r.doc_id)
 
 
-def test_near_components_are_those_of_exact_similarity(spark):
+def test_near_components_are_those_of_exact_similarity(spark, monkeypatch):
     rng = random.Random(5)
     base = [" ".join(rng.choices(["word%d" % k for k in range(900)], k=300)) for _ in range(40)]
 
@@ -337,6 +481,8 @@ def test_near_components_are_those_of_exact_similarity(spark):
     assert below > 100 and len(set(group.tolist())) > 80
     got = {r.doc_id: r.component_id for r in simhash.near_components(docs).collect()}
     assert got == dict(enumerate(group.tolist()))
+    monkeypatch.setattr(simhash.left_apart, "__defaults__", (2 * simhash.LEAF, 16))
+    assert {r.doc_id: r.component_id for r in simhash.near_components(docs).collect()} == got
     assert simhash.near_components(docs.limit(0)).count() == 0
 
 
