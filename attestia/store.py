@@ -20,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def keep(df: DataFrame, what: str) -> DataFrame:
+def keep(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it again.
 
     A lost executor loses none of it, and what follows does not compute df twice. The table stays until the folder is
@@ -28,7 +28,7 @@ def keep(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/attestia-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
