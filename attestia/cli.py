@@ -14,6 +14,7 @@ from attestia.functions import text as T
 from attestia.operators import gate, library, mutate, provenance, reconcile, review
 from attestia.plans import citations, report, verdicts, verify
 from attestia.sources import files
+from attestia.store import keep, replace
 
 
 def sources(spark: SparkSession, c: config.Config) -> DataFrame:
@@ -115,6 +116,36 @@ def exhibits(spark, c, a) -> int:
     return 1 if rows.where("status = 'cited_no_file'").count() else 0
 
 
+def intake(spark, c, a) -> int:
+    """Landed files against the register, which is a Parquet table; 3 with a refused file, 4 with one that has no address."""
+    packs_, keys = citations.load(c.citation_packs), "key string, path string, sha256 string, revision int, supersedes string, url string, trust string"
+    register = c.path(a.register)
+    held = spark.read.parquet(register) if os.path.exists(register) else spark.createDataFrame([], keys)
+    landed = files.inbox(spark, a.inbox)
+    found = F.transform(citations.cite_positions(packs_)(F.coalesce(F.lit(a.address), "address")), lambda x: x["cite"])
+    cited = keep(landed.withColumn("__cites", found), "inbox")
+    taken = keep(library.intake(cited.withColumn("keys", citations.cite_keys(packs_)("__cites")), library.latest(held), packs_.domains), "intake")
+    replace(library.register(held, taken), register)
+    _show(taken.select("name", "key", "status", "revision", "trust_label"))
+    seen = {r["status"] for r in taken.select("status").distinct().collect()}
+    return 3 if "REFUSED" in seen else 4 if seen & {"NO ADDRESS", "UNREADABLE"} else 0
+
+
+def dump_forms(spark, c, a) -> int:
+    there = [e for e, has in files.engines().items() if has]
+    if not there:
+        print("no PDF engine is installed: no form was read")
+        return 2
+    found = files.walk(spark, a.paths, (".pdf",)).where(~F.col("name").rlike(reconcile.NEVER_READ))
+    fields = [files.form_fields(found, e).cache() for e in there]
+    _show(reconcile.widgets(fields[0]))
+    _show(reconcile.reading_order(fields[0]))
+    if len(fields) == 2:
+        keyed = [f.withColumn("key", F.concat_ws(" ", "file", "name")) for f in fields]
+        _show(reconcile.agreement(*keyed, "key", "value"))
+    return 0
+
+
 def brief(spark, c, a) -> int:
     _show(spark.read.text(a.paths, wholetext=True).select(F.explode(review.anchor_warnings(F.col("value"))).alias("warning")))
     return 0
@@ -168,6 +199,11 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("--exhibits", nargs="+", required=True)
     x.add_argument("--forms", nargs="*")
     add("brief", brief).add_argument("paths", nargs="+")
+    add("dump-forms", dump_forms).add_argument("paths", nargs="+")
+    x = add("intake", intake)
+    x.add_argument("inbox")
+    x.add_argument("--register", default="law/register.parquet")
+    x.add_argument("--address")
     add("sidecar", sidecar).add_argument("--cache", required=True)
     for name, run in (("bank", bank), ("library", library_), ("packs", packs), ("doctor", doctor), ("close", close)):
         add(name, run)

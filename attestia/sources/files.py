@@ -278,3 +278,66 @@ def transcript_events(spark: SparkSession, path: str) -> DataFrame:
     parsed = lines.withColumn("x", F.from_json("value", f"type string, isSidechain boolean, message struct<content:{block}>"))
     own = parsed.where("x.type = 'assistant' AND NOT coalesce(x.isSidechain, false)")
     return own.select("file", "line", F.posexplode("x.message.content").alias("block", "b")).select("file", "line", "block", F.col("b.type").alias("kind"), F.col("b.text").alias("text"))
+
+
+FIELDS = "file string, engine string, page int, y double, x double, name string, value string, ftype string"
+
+
+def _fields(engine: str, content: bytes) -> list[tuple]:
+    """(page, y, x, name, value, kind) of a form's widgets; only one engine knows where they stand. A ticked box is [X]."""
+    if engine == "fitz":
+        import fitz
+
+        with fitz.open(stream=content, filetype="pdf") as doc:
+            return [(p.number + 1, float(w.rect.y0), float(w.rect.x0), w.field_name, _value(w.field_value), w.field_type_string or "?") for p in doc for w in p.widgets() or [] if w.field_name]
+    import pypdf
+
+    found = pypdf.PdfReader(io.BytesIO(content)).get_fields() or {}
+    kept = [(n, f) for n, f in found.items() if str(f.get("/FT") or "") != "/Sig" and isinstance(f.get("/V") or "", (str, int, float))]
+    return [(0, None, None, n, _value(f.get("/V")), str(f.get("/FT") or "?")) for n, f in kept]
+
+
+def _value(v) -> str:
+    text = "" if v is None else str(v).removeprefix("/")
+    return {"true": "[X]", "false": "", "off": ""}.get(text.lower(), text)
+
+
+def form_fields(files: DataFrame, engine: str) -> DataFrame:
+    """(file, engine, page, y, x, name, value, ftype) of the widgets of PDF forms, by one of the engines pypdf and fitz.
+
+    Files of one name in several folders are read once, the first by path; a file that cannot be read has one row whose
+    kind is READ_ERROR; an engine that is not there is an error, as a form without fields would be a false finding.
+    """
+    if not engines()[engine]:
+        raise ModuleNotFoundError(f"{engine} is not installed: no form was read")
+    first = files.where(F.col("ext") == ".pdf").groupBy("name").agg(F.min_by(F.struct("path", "content"), "path").alias("x")).select("name", "x.content")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for name, content in zip(frame["name"], frame["content"]):
+                try:
+                    rows += [(name, engine, *f) for f in _fields(engine, bytes(content))]
+                except Exception as e:  # noqa: BLE001 - whatever a broken form does becomes its row
+                    rows.append((name, engine, 0, None, None, "", type(e).__name__, "READ_ERROR"))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in FIELDS.split(", ")])
+
+    return first.mapInPandas(run, FIELDS)
+
+
+META = "url string, sha256 string, trust string, model_in_path boolean, address string, fetched_at string"
+
+
+def inbox(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, name, text, sha256, url, claimed_trust, model_in_path, address) of landed files, each with what the file
+    beside it (``name.meta.json``) says; without one, nothing is known and the digest is that of the bytes."""
+    landed = walk(spark, [folder], (*EXTENSIONS, ".json"))
+    metas = landed.where(F.col("name").endswith(".meta.json"))
+    told = metas.select(F.regexp_replace("path", r"\.meta\.json$", "").alias("path"), F.from_json(F.col("content").cast("string"), META).alias("m"))
+    own = landed.where(F.col("ext").isin(*EXTENSIONS))
+    read = read_any(own).select("path", "name", "text").join(own.select("path", F.sha2("content", 256).alias("__sha")), "path")
+    rows = read.join(told, "path", "left")
+    return rows.select(
+        "path", "name", "text", F.coalesce("m.sha256", "__sha").alias("sha256"), F.col("m.url").alias("url"), F.coalesce("m.trust", F.lit("unknown")).alias("claimed_trust"),
+        F.coalesce("m.model_in_path", F.lit(False)).alias("model_in_path"), F.col("m.address").alias("address"),
+    )

@@ -37,3 +37,17 @@ def spread(df: DataFrame, below: int = 2 << 30) -> DataFrame:
     are. Plans beyond so many estimated bytes have splits enough and are left alone, without a shuffle."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(str(size)) < below else df
+
+
+def replace(df: DataFrame, path: str) -> None:
+    """Put df in place of the Parquet table at path: written beside it first, then renamed, so that a failure leaves the old
+    table, and df may read it."""
+    spark = df.sparkSession
+    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    system = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(place(path)):
+        system.rename(place(path), place(old))
+    system.rename(place(new), place(path))
+    system.delete(place(old), True)

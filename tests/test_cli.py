@@ -43,6 +43,31 @@ def test_commands(spark, matter, capsys):
     assert "us-immigration" in said and "missing" in said and "1 surnames" in said
 
 
+def test_intake(spark, matter, tmp_path):
+    (tmp_path / "new.txt").write_text("245.1 " + "A person may apply for the change of the terms of a stay at the office. " * 8)
+    (tmp_path / "new.txt.meta.json").write_text(json.dumps({"url": "https://www.ecfr.gov/x", "trust": "primary", "address": "8 CFR 245.1"}))
+    register = tmp_path / "register.parquet"
+    assert run(spark, matter, "intake", tmp_path, "--register", register) == 0
+    rows = spark.read.parquet(str(register)).collect()
+    assert [(r.key, r.path, r.revision, r.trust) for r in rows] == [("cfr|8|245", "new.txt", 1, "primary")]
+    assert run(spark, matter, "intake", tmp_path, "--register", register) == 0 and spark.read.parquet(str(register)).count() == 1
+    (tmp_path / "new.txt").write_text("245.1 " + "A person may not apply for the change of the terms of a stay at the office. " * 8)
+    assert run(spark, matter, "intake", tmp_path, "--register", register) == 0
+    assert sorted((r.path, r.revision) for r in spark.read.parquet(str(register)).collect()) == [("new.txt", 1), ("new__rev2.txt", 2)]
+    (tmp_path / "new.txt.meta.json").unlink()
+    assert run(spark, matter, "intake", tmp_path, "--register", register) == 4
+
+
+def test_forms_without_an_engine(spark, matter):
+    from attestia.sources import files
+
+    if not any(files.engines().values()):
+        assert run(spark, matter, "dump-forms", matter / "out") == 2
+        with pytest.raises(ModuleNotFoundError, match="no form was read"):
+            files.form_fields(files.walk(spark, [str(matter / "out")], (".pdf",)), "pypdf")
+    assert [files._value(v) for v in ("/Off", True, None, "/Yes", 3)] == ["", "[X]", "", "Yes", "3"]
+
+
 def test_settings(tmp_path, matter):
     assert config.load(str(matter / "case")).surnames == ["Li"] and config.load(str(matter)).missing() == []
     assert config.Config().citation_packs == ["us-federal"] and config.load(str(tmp_path)).root == str(tmp_path)
