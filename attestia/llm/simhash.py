@@ -10,7 +10,7 @@ every pair within the radius meets in a shard, where the whole distance is teste
 Near-duplicate texts (``near_components``, ``firsts``) are found by wide fingerprints of their sets of shingles, whose
 blocks make candidates; each link is then verified on the sets themselves.
 
-Null and empty texts have fingerprint zero and link like any other. Rows that repeat a doc_id are rows of their own;
+Null and empty texts have fingerprint zero and link like any other; texts of any length are taken whole. Rows that repeat a doc_id are rows of their own;
 a null doc_id takes part, but never names a component unless all ids in it are null. An empty table gives no rows.
 """
 
@@ -36,6 +36,8 @@ LEAF = 1024
 LANES, RADIUS, SIMILAR = 6, 76, 0.8
 #: Candidates that differ in at most so many bits are hardly ever refused.
 SURE = 48
+#: Points that take their sets along to one task.
+OPEN = 4096
 WORDS = [f"__w{k}" for k in range(LANES)]
 
 
@@ -295,16 +297,21 @@ def connected(near: Near, sure: int) -> tuple[np.ndarray, np.ndarray]:
     return left, right
 
 
-def wide_links(distinct: DataFrame, radius: int, similar: float, sure: int = SURE, leaf: int = 2 * LEAF) -> DataFrame:
-    """(a, b): keys of distinct wide fingerprints that may be alike and meet in a shard, a < b.
+def wide_trees(total: int, leaf: int) -> list[tuple[int, int, Tree]]:
+    """(word, first bit, tree): each word has three blocks of 20 bits, each block a tree with a reach of one bit."""
+    return [(k, at, Tree(at, 20, 1, total, leaf, 64 * k + at)) for k in range(LANES) for at in (0, 20, 40)]
+
+
+def near_of(group: pa.Table, trees: list[tuple[int, int, Tree]], radius: int, similar: float) -> Near:
+    k, at, _ = trees[group.column("tree")[0].as_py()]
+    points = np.stack([group.column(w).to_numpy().view(np.uint64) for w in WORDS], axis=1)
+    part = ((points[:, k] >> np.uint64(at)) & np.uint64((1 << 20) - 1)).astype(np.uint32)
+    return Near(points, part, group.column("__n").to_numpy(), 1, radius, similar)
 
-    Without a column __label, enough of them to connect all such; with it, all whose labels differ. Each word has three
-    blocks of 20 bits, each block a tree with a reach of one bit.
-    """
-    total = distinct.count()
-    trees = [(k, at, Tree(at, 20, 1, total, leaf, 64 * k + at)) for k in range(LANES) for at in (0, 20, 40)]
-    labelled = "__label" in distinct.columns
-    rest = ["__n", *WORDS] + ["__label"] * labelled
+
+def routed(distinct: DataFrame, trees: list[tuple[int, int, Tree]], more: tuple[str, ...] = ()) -> DataFrame:
+    """(tree, shard, __fp, __n, words, more) of every shard that a wide fingerprint belongs to."""
+    rest = ["__n", *WORDS, *more]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -313,23 +320,79 @@ def wide_links(distinct: DataFrame, radius: int, similar: float, sure: int = SUR
                 rows = b.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number, np.int32)), pa.array(leaves), *rows.columns], ["tree", "shard", "__fp", *rest])
 
+    return distinct.select("__fp", *rest).mapInArrow(route, "tree int, shard long, __fp long, __n int, " + ", ".join(f"{c} long" for c in rest[1:]))
+
+
+def wide_links(distinct: DataFrame, radius: int, similar: float, sure: int = SURE, leaf: int = 2 * LEAF) -> DataFrame:
+    """(a, b), a < b: keys of distinct wide fingerprints that may be alike and meet in a shard, enough to connect all such."""
+    trees = wide_trees(distinct.count(), leaf)
+
     def search(group: pa.Table) -> pa.Table:
         group = group.sort_by("__fp")  # so that reruns start from the same points
-        k, at, _ = trees[group.column("tree")[0].as_py()]
-        points = np.stack([group.column(w).to_numpy().view(np.uint64) for w in WORDS], axis=1)
-        part = ((points[:, k] >> np.uint64(at)) & np.uint64((1 << 20) - 1)).astype(np.uint32)
-        near = Near(points, part, group.column("__n").to_numpy(), 1, radius, similar)
-        if labelled:
-            found = list(near.pairs(np.arange(len(points)), group.column("__label").to_numpy()))
-            i, j = (np.concatenate([x[k] for x in found]) for k in (0, 1))
-        else:
-            i, j = connected(near, sure)
+        i, j = connected(near_of(group, trees, radius, similar), sure)
         key = group.column("__fp").to_numpy()
         return pa.table({"a": np.minimum(key[i], key[j]), "b": np.maximum(key[i], key[j])})
 
-    kinds = "tree int, shard long, __fp long, __n int, " + ", ".join(f"{c} long" for c in rest[1:])
-    shards = distinct.select("__fp", *rest).mapInArrow(route, kinds)
-    return shards.groupBy("tree", "shard").applyInArrow(search, "a long, b long").distinct()
+    return routed(distinct, trees).groupBy("tree", "shard").applyInArrow(search, "a long, b long").distinct()
+
+
+def left_apart(points: DataFrame, sets: DataFrame, radius: int, similar: float, leaf: int = 2 * LEAF, block: int = OPEN) -> DataFrame:
+    """(a, b): verified links between points (__fp, __n, words, __label) of different labels, enough to connect all that
+    meet in a shard and are alike.
+
+    First each shard names its points that have a candidate of another label; only these take their sets of shingles
+    along. Candidates are then verified where they meet, the nearest first, and none whose labels a link already joins, so
+    that what leaves a task are links, fewer than its points. A shard of more than ``block`` such points is cut, and
+    every two of its parts meet in a task of their own.
+    """
+    trees = wide_trees(points.count(), leaf)
+
+    def name(group: pa.Table) -> pa.Table:
+        near, label = near_of(group, trees, radius, similar), group.column("__label").to_numpy()
+        mark = np.zeros(len(label), bool)
+        for i, j, _ in near.pairs(np.arange(len(label)), label):
+            mark[i] = True
+            mark[j] = True
+        return group.select(["tree", "shard", "__fp", "__n", *WORDS, "__label"]).filter(pa.array(mark))
+
+    kinds = "tree int, shard long, __fp long, __n int, " + ", ".join(f"{c} long" for c in [*WORDS, "__label"])
+    open_ = keep(routed(points, trees, ("__label",)).groupBy("tree", "shard").applyInArrow(name, kinds), "apart")
+    parts = open_.groupBy("tree", "shard").agg(F.ceil(F.count("*") / block).cast("int").alias("__parts"))
+    placed = open_.join(parts, ["tree", "shard"]).withColumn("__part", F.pmod(F.xxhash64("__fp"), "__parts").cast("int"))
+    placed = placed.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    placed = placed.withColumns({"__low": F.least("__part", "__other"), "__high": F.greatest("__part", "__other")}).drop("__parts", "__other")
+
+    def verify(group: pa.Table) -> pa.Table:
+        group = group.sort_by("__fp")
+        near, key = near_of(group, trees, radius, similar), group.column("__fp").to_numpy()
+        held = [np.frombuffer(x, "<u8") for x in group.column("__set").to_pylist()]
+        part, two = group.column("__part").to_numpy(), group.column("__low")[0].as_py() != group.column("__high")[0].as_py()
+        _, label = np.unique(group.column("__label").to_numpy(), return_inverse=True)
+        parent = np.arange(len(key))
+        found = list(near.pairs(np.arange(len(key)), label))
+        i, j, d = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        some = (i < j) & ((part[i] != part[j]) if two else True)
+        order = np.argsort(d[some], kind="stable")
+        out = []
+        for x, y in zip(i[some][order].tolist(), j[some][order].tolist()):
+            a, b = int(label[x]), int(label[y])
+            while parent[a] != a:
+                a = int(parent[a])
+            while parent[b] != b:
+                b = int(parent[b])
+            if a != b and alike(held[x], held[y], similar):
+                parent[max(a, b)] = min(a, b)
+                out.append((x, y))
+        x, y = np.array(out, np.int64).reshape(-1, 2).T
+        return pa.table({"a": np.minimum(key[x], key[y]), "b": np.maximum(key[x], key[y])})
+
+    return placed.join(sets, "__fp").groupBy("tree", "shard", "__low", "__high").applyInArrow(verify, "a long, b long").distinct()
+
+
+def alike(one: np.ndarray, two: np.ndarray, similar: float) -> bool:
+    """Whether two sorted arrays of distinct values have that Jaccard similarity."""
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return both >= similar * (len(one) + len(two) - both)
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, distinct: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -358,9 +421,7 @@ def verified(edges: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
             out = []
             for pair, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if pair == last:
-                    x, y = np.frombuffer(one, "<u8"), np.frombuffer(raw, "<u8")
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    out.append((pair, both >= similar * (len(x) + len(y) - both)))
+                    out.append((pair, alike(np.frombuffer(one, "<u8"), np.frombuffer(raw, "<u8"), similar)))
                 last, one = pair, raw
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.bool_())], ["pair", "alike"])
 
@@ -372,25 +433,20 @@ def alike_links(docs: DataFrame, distinct: DataFrame, radius: int, similar: floa
     """(a, b) of keys whose shingle sets have that similarity, enough to connect all candidates that have it.
 
     Candidates meet in a shard with fingerprints within the radius. First a spanning set of them is verified. Where one
-    is refused, another candidate may still link its points: in the groups it belongs to, all candidates between points
-    that the verified ones leave apart are verified too.
+    is refused, another candidate may still link its points: candidates between points that the verified ones leave apart
+    are verified too, where they meet.
     """
     candidates = keep(wide_links(distinct, radius, similar), "links")
-    ends = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
+    ends = keep(candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct(), "ends")
     sets = shingle_sets(docs, ends, distinct, id_col, text_col, words)
     first = verified(candidates, sets, similar)
-    good, refused = first.where("alike").select("a", "b"), first.where("NOT alike")
+    good, refused = first.where("alike").select("a", "b"), first.where("NOT alike").select("a", "b")
     if refused.isEmpty():
         return good
-    groups = keep(closed(stars(candidates)), "groups")
-    touched = groups.join(refused.select(F.col("a").alias("node")).distinct(), "node").select("root").distinct()
-    open_ = groups.join(touched, "root", "left_semi").select("node")
     labels = closed(stars(good)).select(F.col("node").alias("__node"), F.col("root").alias("__to"))
-    points = distinct.join(open_, F.col("__fp") == F.col("node"), "left_semi").join(labels, F.col("__fp") == F.col("__node"), "left")
+    points = distinct.join(ends, F.col("__fp") == F.col("node"), "left_semi").join(labels, F.col("__fp") == F.col("__node"), "left")
     points = keep(points.select("__fp", "__n", *WORDS, F.coalesce("__to", "__fp").alias("__label")), "open")
-    more = wide_links(points, radius, similar).join(refused.select("a", "b"), ["a", "b"], "left_anti")
-    second = verified(more, sets, similar)
-    return good.union(second.where("alike").select("a", "b"))
+    return good.union(left_apart(points, sets, radius, similar))
 
 
 def closed(linked: DataFrame) -> DataFrame:
