@@ -115,7 +115,7 @@ def plan(sized: DataFrame, most: int = MOST) -> DataFrame:
             extra[some] = fit(lengths[some], counts[some], goal - rounds * size)
         return group.assign(__rounds=rounds, __extra=extra)
 
-    joined = counted.join(F.broadcast(named), F.col("__source").eqNullSafe(F.col("__of"))).drop("__of")
+    joined = counted.join(named, F.col("__source").eqNullSafe(F.col("__of"))).drop("__of")  # sent whole only where Spark finds it small
     schema = "__source string, __size long, __count long, source_size long, target double, __rounds long, __extra long"
     return joined.groupBy("__source").applyInPandas(by_source, schema)
 
@@ -152,7 +152,7 @@ def placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
     """(id_col, size, source_size, target, __copies) of every row: how often the mix takes it.
 
-    Null and empty texts have size 0 and are never taken. A null source is a source, the last. Rows that repeat a doc_id
+    Null and empty texts have size 0 and are never taken; texts of any length count whole. A null source is a source, the last. Rows that repeat a doc_id
     are documents of their own; equal rows are told apart by nothing and share their lot. An empty table gives no rows.
     """
     found = placed(docs, id_col, text_col, source_col, seed, False)

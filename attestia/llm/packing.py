@@ -6,7 +6,7 @@ goes on. The sequences of a lot hold exactly as many tokens as the lot: full one
 of two in it, so that nothing is padded. A task packs its own rows in lots of bounded size and carries what would fill
 no whole sequence into its next lot; there is no shuffle, and tokens live only in the task that made them.
 
-Null and empty texts are the end id alone. Rows that repeat a doc_id, or have none, are documents of their own. An empty
+Null and empty texts are the end id alone; texts of any length are taken whole and cut freely. Rows that repeat a doc_id, or have none, are documents of their own. An empty
 table gives no rows. A task's sequence ids hold its partition number, so that no two tasks share one.
 """
 

@@ -267,7 +267,7 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; logarithms to base 10.
 
     training is a condition over docs; rows where it is null are trained on. Tokens are the words and one end. Null and
-    empty texts are the end alone; rows that repeat an id are scored alone; without training rows every byte is one of
+    empty texts are the end alone; texts of any length are scored whole, a long row by itself; rows that repeat an id are scored alone; without training rows every byte is one of
     256 and no token is known. An empty table gives no rows.
     """
     spark = docs.sparkSession
