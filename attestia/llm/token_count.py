@@ -45,16 +45,34 @@ class Counter:
 class Node:
     """A node of a segment tree: leaves (texts with their token counts) or nodes below, and the sums of both."""
 
-    __slots__ = ("below", "counts", "chars", "tokens", "leaf", "depth")
+    __slots__ = ("below", "counts", "chars", "tokens", "leaf", "depth", "folded")
 
     def __init__(self, below: list, counts: list[int] | None = None):
-        self.below, self.counts, self.leaf = below, counts, counts is not None
+        self.below, self.counts, self.leaf, self.folded = below, counts, counts is not None, None
         if self.leaf:
             self.chars, self.tokens, self.depth = sum(map(len, below)), sum(counts), 1
         else:
             self.chars, self.tokens, self.depth = sum(n.chars for n in below), sum(n.tokens for n in below), 1 + max(n.depth for n in below)
 
 
+    @classmethod
+    def fold(cls, text: str, sizes: list[int], counts: list[int], tokens: int) -> Node:
+        """Leaves whose text is cut into segments once they are looked at."""
+        node = cls([], [])
+        node.folded, node.counts, node.chars, node.tokens = (text, sizes), counts, len(text), tokens
+        return node
+
+    def members(self) -> list:
+        if self.folded is not None:
+            text, sizes = self.folded
+            at = 0
+            for n in sizes:
+                self.below.append(text[at : at + n])
+                at += n
+            self.folded = None
+        return self.below
+
+
 class Tree:
     """Segments of one text under nodes of at most FAN members, with sums of characters and tokens at each node.
 
@@ -67,6 +85,18 @@ class Tree:
         self.encoded = 0
         self.root = self._over(self._leaves(segments, [int(t) for t in tokens]))
 
+    @classmethod
+    def of(cls, text: str, sizes: np.ndarray, tokens: np.ndarray) -> Tree:
+        """The tree of a text whose segments have these characters and tokens."""
+        tree = cls([], np.zeros(0, np.int64))
+        if len(sizes):
+            starts = np.arange(0, len(sizes), FAN)
+            ends = np.cumsum(np.add.reduceat(sizes, starts)).tolist()
+            sums, sizes, tokens = np.add.reduceat(tokens, starts).tolist(), sizes.tolist(), tokens.tolist()
+            bounds = zip(starts.tolist(), [0, *ends], ends, sums)
+            tree.root = cls._over([Node.fold(text[b:e], sizes[a : a + FAN], tokens[a : a + FAN], n) for a, b, e, n in bounds])
+        return tree
+
     @staticmethod
     def _leaves(segments: list[str], counts: list[int]) -> list[Node]:
         return [Node(segments[a : a + FAN], counts[a : a + FAN]) for a in range(0, len(segments), FAN)]
@@ -89,7 +119,7 @@ class Tree:
         """(segment, tokens) of all leaves in order."""
         node = node or self.root
         if node.leaf:
-            yield from zip(node.below, node.counts)
+            yield from zip(node.members(), node.counts)
         else:
             for n in node.below:
                 yield from self.segments(n)
@@ -101,7 +131,7 @@ class Tree:
         """(start, end, segments) of all segments that hold a character of a to b, or touch it."""
         first, last, out = None, start, []
         at = start
-        for n in node.below:
+        for n in node.members():
             size = len(n) if node.leaf else n.chars
             if at <= b and at + size >= a:
                 if node.leaf:
@@ -119,11 +149,11 @@ class Tree:
     def _cut(self, node: Node, at: int) -> tuple[list[Node], list[Node]]:
         """The nodes before and from character at on, which is a segment's bound."""
         if node.leaf:
-            k, seen = 0, 0
-            while k < len(node.below) and seen < at:
-                seen += len(node.below[k])
+            held, k, seen = node.members(), 0, 0
+            while k < len(held) and seen < at:
+                seen += len(held[k])
                 k += 1
-            return [Node(x, y) for x, y in [(node.below[:k], node.counts[:k])] if x], [Node(x, y) for x, y in [(node.below[k:], node.counts[k:])] if x]
+            return [Node(x, y) for x, y in [(held[:k], node.counts[:k])] if x], [Node(x, y) for x, y in [(held[k:], node.counts[k:])] if x]
         left, right, seen = [], [], 0
         for n in node.below:
             if seen + n.chars <= at:
@@ -187,35 +217,37 @@ def build(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", tex
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, __text string, __chars array<int>, __tokens array<int>")
 
 
-def edited(trees: DataFrame, edits: Column, ranks: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
-    """trees after edits, with tokens_before, tokens_after, chars_before, chars_after and chars_encoded.
+def edited(trees: DataFrame, edits: Column, ranks: str, pattern: str, id_col: str = "doc_id", with_trees: bool = True) -> DataFrame:
+    """trees after edits, with tokens_before, tokens_after, chars_before, chars_after and chars_encoded; without the trees
+    where only the counts are wanted.
 
     edits: an array of (start, removed, inserted) in characters over the columns of trees, applied in order, each to the
     text the former left; a range beyond the text is clipped, null fields are 0 or empty, and a null array is none.
     """
     kind = trees.schema[id_col].dataType.simpleString()
     numbers = ["tokens_before", "tokens_after", "chars_before", "chars_after", "chars_encoded"]
+    columns = {"__text": ("string", pa.string()), "__chars": ("array<int>", pa.list_(pa.int32())), "__tokens": ("array<int>", pa.list_(pa.int32()))} if with_trees else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = load(ranks, pattern)
         for batch in batches:
             for b in sliced(batch, "__text"):
                 rows = []
-                for text, sizes, tokens, changes in zip(*(b.column(k).to_pylist() for k in range(1, 5))):
-                    ends = np.cumsum(sizes or [0]).tolist()
-                    segments = [text[e - n : e] for e, n in zip(ends, sizes)] if sizes else []
-                    tree = Tree(segments, tokens or [])
+                lists = [(c.flatten().to_numpy(), (c.offsets.to_numpy() - c.offsets[0].as_py()).tolist()) for c in (b.column(2), b.column(3))]
+                for k, (text, changes) in enumerate(zip(b.column(1).to_pylist(), b.column(4).to_pylist())):
+                    tree = Tree.of(text or "", *(x[at[k] : at[k + 1]] for x, at in lists))
                     before, chars = tree.total, tree.chars
                     for e in changes or []:
                         if e is not None:
                             tree.replace(*clip(e["start"], e["removed"], tree.chars), e["inserted"] or "", counter)
-                    now = list(tree.segments())
-                    rows.append(("".join(s for s, _ in now), [len(s) for s, _ in now], [t for _, t in now], before, tree.total, chars, tree.chars, tree.encoded))
-                types = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.int64()] * 5)
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], [id_col, "__text", "__chars", "__tokens", *numbers])
+                    now = list(tree.segments()) if with_trees else []
+                    told = ("".join(s for s, _ in now), [len(s) for s, _ in now], [t for _, t in now]) if with_trees else ()
+                    rows.append((*told, before, tree.total, chars, tree.chars, tree.encoded))
+                types = [t for _, t in columns.values()] + [pa.int64()] * 5
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], [id_col, *columns, *numbers])
 
     typed = edits.cast("array<struct<start:long,removed:long,inserted:string>>").alias("__edits")
-    schema = f"`{id_col}` {kind}, __text string, __chars array<int>, __tokens array<int>, " + ", ".join(f"{n} long" for n in numbers)
+    schema = ", ".join([f"`{id_col}` {kind}", *(f"{n} {t}" for n, (t, _) in columns.items()), *(f"{n} long" for n in numbers)])
     return trees.select(id_col, "__text", "__chars", "__tokens", typed).mapInArrow(run, schema)
 
 
@@ -227,8 +259,8 @@ def recount(docs: DataFrame, edits, ranks: str, pattern: str, id_col: str = "doc
     length are taken whole, one row in a task at a time; rows that repeat an id are counted alone; an empty table gives
     no rows; other columns do not matter.
     """
-    trees = keep(build(docs, ranks, pattern, id_col, text_col), "trees")
-    return edited(trees, edits(id_col, "__text"), ranks, pattern, id_col).drop("__text", "__chars", "__tokens")
+    trees = keep(build(docs, ranks, pattern, id_col, text_col), "trees", "zstd")
+    return edited(trees, edits(id_col, "__text"), ranks, pattern, id_col, False)
 
 
 def revision(id_col: str = "doc_id", text_col: str = "text") -> Column:
