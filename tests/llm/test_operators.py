@@ -250,6 +250,65 @@ def test_language(spark, none):
     assert langid.keep_accepted(frame, langid.fit(frame)).columns == frame.columns
 
 
+def test_predictions_are_the_weights_argmax(spark):
+    """The model applied by hand: every run of two to four bytes, looked up one by one."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abc de" if k % 2 else "éx yz,1"), 80)) for k in range(120)] + ["a", "É", "x" * 5000]
+    model = langid.train([t.encode() for t in texts[:100]], ["one" if k % 2 else "two" for k in range(100)], epochs=2)
+    for text in texts:
+        low = bytes(langid.LETTERS[b] for b in (" " + text + " ").encode())
+        while b"  " in low:
+            low = low.replace(b"  ", b" ")
+        total = np.zeros(2)
+        places = []
+        for n in langid.RUNS:
+            for at in range(len(low) - n + 1):
+                code = int.from_bytes(low[at : at + n])
+                places.append(((code * 0x9E3779B1 + n * 0x85EBCA6B) & 0xFFFFFFFF) >> 17)
+        for place in places:
+            total = total + model.weights[place].astype(float)
+        z = total / max(1, len(places)) + model.bias
+        want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        got = model.probabilities([text.encode()])[0]
+        assert np.allclose(got, want, atol=1e-5) and (abs(want[0] - want[1]) < 1e-4 or got.argmax() == want.argmax())
+    names, scores, good = langid.guess(model, [t.encode() for t in texts])
+    assert (good == (scores >= model.threshold)).all()
+
+
+def test_the_mix_takes_the_nearest_sums(spark):
+    rng = random.Random(6)
+    rows = [(k, " ".join(["w"] * rng.choice([0, 3, 5, 8, 13])), rng.choice(["a", "b", "c", None])) for k in range(50)]
+    found = mixing.digest(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    size = {k: len(t.split()) for k, t, _ in rows}
+    of = {k: s for k, _, s in rows}
+    names = ["a", "b", "c", None]
+    sizes = [sum(size[k] for k in size if of[k] == s) for s in names]
+    for s, whole, goal in zip(names, sizes, mixing.targets(sizes, [1, 2, 3, 1])):
+        mine = [r for r in found if of[r.doc_id] == s]
+        assert all(r.size == size[r.doc_id] and r.source_size == whole and abs(r.target - goal) < 1e-6 and r.taken in {n * r.size for n in range(4)} for r in mine)
+        rounds, budget = min(int(round(goal)) // whole, 3), int(round(goal))
+        sums = {rounds * whole}
+        for r in mine:  # each document once more, or not
+            sums |= {x + r.size for x in sums if rounds < 3}
+        assert sum(r.taken for r in mine) == max(x for x in sums if x <= budget)
+
+
+def test_a_very_long_text(spark):
+    words = prose(77, 60_000)
+    rows = [(1, words, "xy", "s", 0), (2, words[:3000] + " and more", "xy", "s", 0), (3, prose(78, 100), "zz", "t", 0), (4, "a" * 2000, "zz", "t", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {(r.doc_id, r.other_id) for r in substring_dedup.digest(docs).collect()} == {(2, 1)}
+    assert {r.doc_id: r.size for r in mixing.digest(docs).collect()}[1] == 60_000
+    assert {r.doc_id: r.lang_pred for r in langid.digest(docs).collect()}.keys() == {1, 2, 3, 4}
+    packed = packing.pack(docs, PATH).collect()
+    assert sum(r.length for r in packed if r.doc_id == 1) == next(r.doc_tokens for r in packed if r.doc_id == 1) > 60_000
+    assert {r.doc_id: r.component_id for r in simhash.near_components(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4} and simhash.components(docs).count() == 4
+    args = (token_count.revision, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    long = next(r for r in token_count.recount(docs, *args).collect() if r.doc_id == 1)
+    assert long.tokens_before == len(COUNTER.encoding.encode_ordinary(words)) and long.chars_encoded < 1000
+    assert {r.doc_id: r.n_tokens for r in ppm.digest(docs).collect()}[1] == 60_001
+
+
 def test_packing(docs, none):
     found = packing.pack(docs.coalesce(1), PATH, longest=64, lot=500, with_ids=True).collect()
     library = Tokenizer.from_file(PATH)
