@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import html.entities
+import re
 from functools import reduce
 
 import pandas as pd
@@ -127,10 +129,20 @@ def _unescaped(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
-def html_text(c: Column, entities: bool = True) -> Column:
-    """Without script and style bodies; tags as spaces; entities as their characters, in Python where a text has any."""
+def _closed(m: re.Match) -> str:
+    return html.unescape(m[0]) if m[1].startswith("#") else html.entities.html5.get(m[1] + ";", m[0])
+
+
+@F.pandas_udf(StringType())
+def _unescaped_closed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: re.sub(r"&(#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);", _closed, t), na_action="ignore")
+
+
+def html_text(c: Column, entities: bool = True, closed: bool = False) -> Column:
+    """Without script and style bodies; tags as spaces; entities as their characters, in Python where a text has any. HTML
+    knows some without their semicolon; with closed, these stay as they are."""
     text = _sub(F.coalesce(c, F.lit("")), (r"(?is)<(script|style)[^>]*>.*?</\1>", " "), (r"<[^>]+>", " "))
-    return F.coalesce(_unescaped(F.when(F.contains(text, F.lit("&")), text)), text) if entities else text
+    return F.coalesce((_unescaped_closed if closed else _unescaped)(F.when(F.contains(text, F.lit("&")), text)), text) if entities else text
 
 
 def host(url: Column) -> Column:

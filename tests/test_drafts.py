@@ -197,3 +197,9 @@ def test_packs_are_json_a_user_may_add(tmp_path):
 def test_no_places_of_nothing(spark):
     corpus = verify.stored(verify.prepare(spark.createDataFrame([(1, "x")], "id long, text string"), "id", "text"))
     assert list(verify.located(spark.createDataFrame([], "k long, role string, ord int, idx string, needle string"), corpus)) == []
+
+
+def test_html_entities_without_semicolon(spark):
+    page = "<p>a &amp; b &amp;copy; &quot;c&quot; &copy; &nosuch; &notit; &#167; &am &amp"
+    assert on(spark, [page, None], lambda c: T.html_text(c, closed=True)) == [' a & b &copy; "c" © &nosuch; &notit; § &am &amp', ""]
+    assert on(spark, [page], T.html_text) == [' a & b &copy; "c" © &nosuch; ¬it; § &am &']
