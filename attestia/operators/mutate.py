@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from attestia.functions import text as T
 
 # Modals that a negation is put behind; clauses that are cut off; words and their tame synonyms.
-MODAL = rf"(?<!{T.WORD})(?iu:shall|may|must|will|does|do|is|are)(?!{T.WORD})(?!{T.SPACE}+(?iu:not))"
+MODAL = r"(?<!{0})(?iu:shall|may|must|will|does|do|is|are)(?!{0})(?!{1}+(?iu:not))"
 CUT = rf",{T.SPACE}*(?iu:but|except|unless|provided|however)(?!{T.WORD})"
 SYNONYMS = [
     (" apply ", " request "), (" prior to ", " before "), (" alien ", " applicant "), (" pursuant to ", " according to "), (" upon ", " on "), (" shall ", " will "),
     (" must ", " has to "), (" may not ", " cannot "),
 ]
 TAIL = " in accordance with applicable law"
+#: Word characters of engines that know ASCII's alone, as RE2 does: to them a modal may stand behind an accented letter.
+ASCII_WORD = "[0-9A-Za-z_]"
 # The verdicts that count as caught, where not every dangerous one does.
 CAUGHT = {"cut-condition": ["TRUNCATED_CONDITION", "TRUNCATED_OPENING"], "splice": ["SPLICED", "ELLIPSIS_HIDES", "ALTERED", "FOUND_ELSEWHERE"]}
 
@@ -27,10 +29,11 @@ def _swap(text: Column, old: str, new: str) -> Column:
     return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), F.lit(new), F.substring(text, at + len(old), F.char_length(text))))
 
 
-def mutant(text: Column, kind: str) -> Column:
-    """The damaged text; null where the mutation does not apply."""
+def mutant(text: Column, kind: str, word: str = T.WORD) -> Column:
+    """The damaged text; null where the mutation does not apply. word is what a modal may not be next to."""
     if kind == "insert-operator":
-        return F.when(text.rlike(MODAL), F.regexp_replace(text, rf"(?s)\A(.*?{MODAL})", "$1 not"))
+        modal = MODAL.format(word, T.SPACE)
+        return F.when(text.rlike(modal), F.regexp_replace(text, rf"(?s)\A(.*?{modal})", "$1 not"))
     if kind == "drop-negation":
         return _swap(text, " not ", " ")
     if kind == "digit":
@@ -52,9 +55,9 @@ def mutant(text: Column, kind: str) -> Column:
 KINDS = ("insert-operator", "drop-negation", "digit", "tail", "cut-condition", "synonym")
 
 
-def apply(rows: DataFrame, id_col: str, text_col: str, kind: str) -> DataFrame:
+def apply(rows: DataFrame, id_col: str, text_col: str, kind: str, word: str = T.WORD) -> DataFrame:
     """(id_col, mutant) of the rows that the mutation applies to."""
-    return rows.select(id_col, mutant(F.col(text_col), kind).alias("mutant")).where("mutant IS NOT NULL")
+    return rows.select(id_col, mutant(F.col(text_col), kind, word).alias("mutant")).where("mutant IS NOT NULL")
 
 
 def base(verified: DataFrame, text_col: str, doc_col: str) -> DataFrame:

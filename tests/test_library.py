@@ -255,3 +255,9 @@ def test_arrivals(spark, tmp_path):
     queue.processAllAvailable()
     queue.stop()
     assert spark.read.parquet(str(tmp_path / "queue")).where("queued").count() == 2
+
+
+def test_modal_behind_an_accented_letter(spark):
+    q = "the ciónñdo is here"
+    assert on(spark, [q], lambda c: mutate.mutant(c, "insert-operator")) == ["the ciónñdo is not here"]
+    assert on(spark, [q], lambda c: mutate.mutant(c, "insert-operator", mutate.ASCII_WORD)) == ["the ciónñdo not is here"]
