@@ -49,8 +49,11 @@ PERSONAL = {
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 #: Lines that a broken secret may span, and what may lead each of them.
 WRAP, LEAD = 5, rf"\A(?:>|{S})*(?:[-*+]{S}+)?"
-#: What any secret begins with, in a text without white space and leads; the rest is not searched for broken ones.
-TRACE = r"BEGIN|sk-|AIza|AKIA|ASIA|gh[pousr]_|xox|eyJ|(?iu:bearer|api[_-]?key|secret|token|password|passwd|access[_-]?key)"
+#: What any secret has in a text without white space and leads: its shape without bounds. The rest is not searched for broken ones.
+TRACE = (
+    r"BEGIN[A-Z]*PRIVATEKEY|sk-[A-Za-z0-9_\-]{20}|AIza[0-9A-Za-z_\-]{30}|A(?:KIA|SIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30}|xox[abprs]-[A-Za-z0-9-]{10}|eyJ[A-Za-z0-9_\-]{10}"
+    r"|(?iu:authorization:bearer|(?:api[_-]?key|secret|token|password|passwd|access[_-]?key)[:=])"
+)
 
 
 def detectors(surnames: tuple[str, ...] = ()) -> list[tuple[str, str, str]]:
@@ -89,19 +92,21 @@ def _line_findings(text: Column, wanted: list[tuple[str, str, str]]) -> Column:
     return F.flatten(F.filter(F.array(none, *[_on_lines(text, *d) for d in wanted]), lambda x: x.isNotNull()))
 
 
-def _chunks(text: Column) -> Column:
-    """Array of (line, last, chunk): two to WRAP lines without their leads, put together without and with a space."""
-    bare = F.transform(_lines(text), lambda x: strip(F.regexp_replace(x, LEAD, "")))
+def _chunked(rows: DataFrame) -> DataFrame:
+    """rows with __chunks, an array of (line, last, chunk): two to WRAP lines of __text without their leads, put together
+    without and with a space, from each line where the next ones have a trace; null where the text has none.
+
+    The lines without leads are a column of their own, as an expression would be worked out again for each of them.
+    """
+    bare = F.col("__bare")
     at = lambda i, n, sep: F.struct(
         (i + 1).alias("line"), F.least(i + n, F.size(bare)).alias("last"), F.array_join(F.slice(bare, i + 1, F.lit(n)), sep).alias("chunk")
     )
-    starts = F.when(F.size(bare) > 1, F.sequence(F.lit(0), F.greatest(F.size(bare) - 2, F.lit(0))))
-    return F.flatten(F.transform(starts, lambda i: F.array(*[at(i, n, sep) for n in range(2, WRAP + 1) for sep in ("", " ")])))
-
-
-def _traced(text: Column) -> Column:
-    """Whether a secret may hide behind a line break at all."""
-    return text.rlike(LINE_END) & F.regexp_replace(F.regexp_replace(text, rf"(?m)^(?:>|{S})*(?:[-*+]{S}+)?", ""), rf"{S}+", "").rlike(TRACE)
+    traced = lambda lines: F.regexp_replace(F.array_join(lines, ""), rf"{S}+", "").rlike(TRACE)
+    starts = F.when(traced(bare), F.filter(F.sequence(F.lit(0), F.size(bare) - 2), lambda i: traced(F.slice(bare, i + 1, F.lit(WRAP)))))
+    text = F.col("__text")
+    rows = rows.withColumn("__bare", F.when(text.rlike(LINE_END), F.transform(_lines(text), lambda x: strip(F.regexp_replace(x, LEAD, "")))))
+    return rows.withColumn("__chunks", F.flatten(F.transform(starts, lambda i: F.array(*[at(i, n, sep) for n in range(2, WRAP + 1) for sep in ("", " ")]))))
 
 
 def findings(texts: DataFrame, id_col: str, text_col: str, surnames: tuple[str, ...] = ()) -> DataFrame:
@@ -109,7 +114,7 @@ def findings(texts: DataFrame, id_col: str, text_col: str, surnames: tuple[str,
     when up to WRAP lines are put together; last is the last of its lines. Lines count from 1. Null is no text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = texts.select(id_col, text.alias("__text"), _line_findings(text, detectors(surnames)).alias("__found"))
-    found = found.withColumn("__chunks", F.when(_traced(F.col("__text")), _chunks(F.col("__text"))))
+    found = _chunked(found)
 
     def broken(kind: str, pattern: str) -> Column:
         first = F.get(F.filter("__chunks", lambda c: c["chunk"].rlike(pattern)), F.lit(0))
@@ -130,7 +135,7 @@ def decision(texts: DataFrame, id_col: str, text_col: str, allow_personal: bool
     """(id_col, code): 2 with a secret on a line or broken over lines, which nothing overrides; 3 with personal data that
     is not allowed; else 0."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = texts.select(id_col, text.alias("__text"))
+    rows = _chunked(texts.select(id_col, text.alias("__text")))
     t = F.col("__text")
 
     def here(pattern: str) -> Column:
@@ -139,7 +144,7 @@ def decision(texts: DataFrame, id_col: str, text_col: str, allow_personal: bool
     def on_line(severity: str) -> Column:
         return _any([here(p) for s, _, p in detectors(surnames) if s == severity])
 
-    broken = F.when(_traced(t), F.exists(_chunks(t), lambda c: _any([c["chunk"].rlike(p) for p in SECRETS.values()]))).otherwise(F.lit(False))
+    broken = F.exists("__chunks", lambda c: _any([c["chunk"].rlike(p) for p in SECRETS.values()]))
     personal = F.lit(False) if allow_personal else on_line("PII")
     return rows.select(id_col, F.when(on_line("SECRET") | F.coalesce(broken, F.lit(False)), 2).when(personal, 3).otherwise(0).alias("code"))
 
