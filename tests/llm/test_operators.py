@@ -558,3 +558,31 @@ def test_connected_links_as_all_pairs_do():
             simhash.joined(ours, i, j)
             simhash.joined(theirs, *np.nonzero(np.bitwise_count(points[:, None] ^ points[None]).sum(axis=2) <= radius))
             assert len(i) < 300 and ours.tolist() == theirs.tolist()
+
+
+def test_a_passage_meets_other_documents_beyond_its_own(spark):
+    """Windows of one key: the nearest before one may be its own document's, or overlap too little, and is passed over."""
+    columns = "key long, near int, doc long, tag int, c int, l int, r int"
+    rows = [(16, 1, 1, 0, 100, 0, 200), (16, 2, 2, 0, 50, 0, 150), (16, 3, 3, 0, 49, 40, 90), (16, 4, 4, 0, 60, 0, 160), (16, 5, 4, 0, 900, 850, 950)]
+    met = {(r.doc, r.other, r.bit) for r in substring_dedup.meet(spark.createDataFrame(rows, columns).coalesce(1), 60).collect()}
+    assert met == {(2, 1, 1), (4, 1, 1), (4, 2, 1)}  # 3 overlaps no one; both of 4 meet 1 and 2, and not each other
+    beside = [(17, 7, 1, 0, 100, 0, 200), (17, 7, 2, 0, 50, 0, 150), (17, 7, 3, 0, 50, 0, 150)]
+    links = substring_dedup.meet(spark.createDataFrame(beside, columns).coalesce(1), 60)
+    assert {(r.doc, r.other) for r in links.collect()} == {(2, 1), (3, 1), (3, 2)}
+    assert substring_dedup.join_intervals(links, 2).count() == 3  # a longer run in common needs no second function
+
+
+def test_every_round_of_a_passage_is_named(spark):
+    """Two rounds of a passage in one document, far apart: each is named, whatever stands around them."""
+    import random
+
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], set()
+    for k in range(30):
+        p = words(56)
+        rows.append((k, " ".join([*words(30), *p, *words(30)])))
+        rows.append((100 + k, " ".join([*words(40), *p, *words(400), *p, *words(40)])))
+        want |= {(100 + k, 40, k), (100 + k, 496, k)}
+    found = substring_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert want <= {(r.doc_id, r.start, r.other_id) for r in found.collect()}
