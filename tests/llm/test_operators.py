@@ -1,12 +1,15 @@
 """The training-data operators against brute force, and on nulls, empty texts, ties, repeated rows and empty tables."""
 
 import random
+import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -586,3 +589,25 @@ def test_every_round_of_a_passage_is_named(spark):
         want |= {(100 + k, 40, k), (100 + k, 496, k)}
     found = substring_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string"))
     assert want <= {(r.doc_id, r.start, r.other_id) for r in found.collect()}
+
+
+def test_counts_of_many_slices_stay_small():
+    """Held together, the grams of a batch are bounded by its distinct ones and a slice, not by all slices' arrays."""
+    rng = np.random.default_rng(3)
+    vocabulary = np.array(prose(91, 5000).split())
+    texts = [" ".join(rng.choice(vocabulary, 2000)) for _ in range(1000)] + [None, "", " \n", "A a"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    tracemalloc.start()
+    found = list(ppm.tallies(iter([batch, batch.slice(0, 0)]), "text", 5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20  # numpy's arrays; 141 MB with slices of 4 MB that were held until the last
+    got = {kind: {} for kind in range(3)}
+    for b in found:
+        for kind, key, n in zip(*(c.to_pylist() for c in b.columns)):
+            got[kind][key] = got[kind].get(key, 0) + n
+    words = Counter(w for t in texts for w in (t or "").lower().split())
+    assert got[0] == {int(np.uint64(xxhash.xxh64_intdigest(w)).view(np.int64)): n for w, n in words.items()} and got[2] == {0: len(texts)}
+    _, _, stream, bounds = ppm.streams(pa.array(texts, pa.string()), 5)
+    keys, n = np.unique(ppm.grams(stream, bounds, 5)[0], return_counts=True)
+    assert got[1] == dict(zip(keys.view(np.int64).tolist(), n.tolist()))
