@@ -25,9 +25,18 @@ WEIGHTS = (1, 2, 3)
 REACH = 1 << 16
 
 
+#: One word with the white space around it; nothing is tried twice.
+WORD = r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"
+
+
 def words(text: Column) -> Column:
-    """Number of runs of characters other than space and tab to carriage return; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    """Number of runs of characters other than space and tab to carriage return; 0 for null.
+
+    Each run becomes one letter, and what is left of a text without any is white space. Spark's regexp_count would hold
+    all runs of a text as an array.
+    """
+    marks = F.translate(F.regexp_replace(text, F.lit(WORD), F.lit("w")), " \t\n\x0b\x0c\r", "")
+    return F.coalesce(F.octet_length(marks), F.lit(0)).cast("long")
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
@@ -128,13 +137,17 @@ def placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
     more = [F.xxhash64(text_col).alias("__tie"), F.struct(*docs.columns).alias("__row")] if whole else []
     sized = docs.select(F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("__source"), words(F.col(text_col)).alias("__size"), *more)
     sized = sized.withColumn("__u", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "__id"), 11) / F.lit(float(1 << 53)))
-    sized = sized if whole else keep(sized, "sizes")
-    planned = keep(plan(sized.select("__source", "__size")), "plan")
+    sizes = keep(sized.drop("__tie", "__row"), "sizes")  # what is counted and ranged reads no text
+    sized = sized if whole else sizes
+    planned = keep(plan(sizes.select("__source", "__size")), "plan")
     named = planned.select(F.col("__source").alias("__s"), F.col("__size").alias("__n"), "__count", "source_size", "target", "__rounds", "__extra")
-    rows = sized.join(named, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n"))).drop("__s", "__n")
     partly = (F.col("__extra") > 0) & (F.col("__extra") < F.col("__count"))
-    rows = rows.withColumn("__range", F.when(partly, F.floor(F.col("__u") * F.ceil(F.sqrt("__count")))))
-    open_ = rows.where(partly)
+
+    def ranged(table: DataFrame) -> DataFrame:
+        rows = table.join(named, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n"))).drop("__s", "__n")
+        return rows.withColumn("__range", F.when(partly, F.floor(F.col("__u") * F.ceil(F.sqrt("__count")))))
+
+    rows, open_ = ranged(sized), ranged(sizes).where(partly)
     counted = open_.groupBy("__source", "__size", "__range", "__extra").agg(F.count("*").alias("__here"))
     before = F.sum("__here").over(Window.partitionBy("__source", "__size").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
     edge = counted.withColumn("__before", F.coalesce(before, F.lit(0))).where((F.col("__before") < F.col("__extra")) & (F.col("__before") + F.col("__here") >= F.col("__extra")))

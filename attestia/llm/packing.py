@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from attestia.llm import bpe
-from attestia.llm.common import sliced
+from attestia.llm.common import sliced, trimmed
 
 #: Tokens that a task packs at once.
 LOT = 4 << 20
@@ -93,6 +93,7 @@ def pack(
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.load(tokenizer)
         numbers = count(TaskContext.get().partitionId() << 40)

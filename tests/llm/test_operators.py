@@ -1,6 +1,10 @@
 """The training-data operators against brute force, and on nulls, empty texts, ties, repeated rows and empty tables."""
 
+import os
 import random
+import re
+import subprocess
+import sys
 import tracemalloc
 import zlib
 from collections import Counter
@@ -611,3 +615,43 @@ def test_counts_of_many_slices_stay_small():
     _, _, stream, bounds = ppm.streams(pa.array(texts, pa.string()), 5)
     keys, n = np.unique(ppm.grams(stream, bounds, 5)[0], return_counts=True)
     assert got[1] == dict(zip(keys.view(np.int64).tolist(), n.tolist()))
+
+
+def test_words_are_counted_without_holding_them(spark):
+    space = " \t\n\x0b\x0c\r"
+    rng = random.Random(9)
+    texts = [None, "", *space, space, "w", "www", "a\xa0b\u2003c d", "\x1c\x85\u2028 x", "\0 \x1f", "$1 \\1", "\U0001f600 \U0001f600\U0001f601"]
+    texts += ["".join(rng.choice("w$\\é\U0001f600\xa0" + space * 2) for _ in range(rng.randrange(60))) for _ in range(300)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, text string").withColumn("n", mixing.words(F.col("text")))
+    assert {r.k: r.n for r in frame.collect()} == {k: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for k, t in enumerate(texts)}
+    assert "regexp_extract_all" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_mix_counts_words_where_rows_are_written_alone(spark, monkeypatch):
+    calls, keep = [], mixing.keep
+    monkeypatch.setattr(mixing, "keep", lambda df, what: calls.append((what, df._jdf.queryExecution().optimizedPlan().toString())) or keep(df, what))
+    rows = [(k, prose(k, 3 + k % 7), "xy", "ab"[k % 2], 0, "z") for k in range(60)]
+    table = keep(spark.createDataFrame(rows, DOCS), "docs")
+    taken = mixing.mix(table).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in taken} == {r.doc_id: r.taken // r.size for r in mixing.digest(table).collect() if r.taken}
+    read = [what for what, plan in calls if "regexp_replace" in plan or "regexp_extract_all" in plan]
+    assert set(read) == {"sizes"}  # the lengths, the plan and its edges were counted from texts before
+
+
+def test_workers_give_free_memory_back():
+    """What a task has freed must not stay with its worker, which waits for the next one beside other stages."""
+    code = """
+import ctypes, re
+import pyarrow as pa
+from attestia.llm.common import trimmed
+held = lambda: int(re.search(r"VmRSS:\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+def run(batches):
+    small = [bytes(1000) for _ in range(200_000)]
+    kept.append(bytes(1000))  # on top of the heap, so that free() alone gives nothing back
+    yield from batches
+kept, before = [], held()
+list(RUN(iter([])))
+print(held() - before)
+"""
+    plain, given = (int(subprocess.run([sys.executable, "-c", code.replace("RUN", r)], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONMALLOC": "malloc"}).stdout) for r in ("run", "trimmed(run)"))
+    assert plain > 150 and given < 60
